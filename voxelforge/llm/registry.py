@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from .language_id import op9_language_id
+from .line_dedup import OP5_SQL, op5_line_dedup
+from .mixing import op10_mixing
+from .secrets import op6_secrets
 
 QUERIES = {
+    "op5_line_dedup": op5_line_dedup,
+    "op6_secrets": op6_secrets,
     "op9_language_id": op9_language_id,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": OP5_SQL,
+}
