@@ -77,10 +77,6 @@ class Matcher:
         found = [(-d, i, name) for grams, name, i in self.rows[lo:hi] if (d := dice(own, grams)) >= self.threshold] if own else []
         return (-min(found)[0], min(found)[2]) if found else None
 
-    def largest_words(self) -> float:
-        """Most bigrams of a unit that may match any template."""
-        return self.sizes[-1] / self.ratio if self.rows else 0
-
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document: id and its matches array<struct<line, license, dice>>; line 0 is the whole text. No shuffle."""
@@ -110,7 +106,6 @@ def matches(text: bytes, matcher: Matcher) -> list[tuple[int, str, float]]:
     if len(lines) > 1:
         units.insert(0, (0, text))
     for i, unit in units:
-        # long units: distinct bigrams bounded below needs the words; a cheap upper size bound does not exist
         if (m := matcher.best(unit)) is not None:
             out.append((i, m[1], m[0]))
     return out
