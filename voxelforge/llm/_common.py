@@ -144,3 +144,15 @@ def shingle_hashes(words: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndar
 
 def lowered(arr: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(arr, ""))
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again, and let Spark drop the shuffle files of finished jobs."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for f in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
+            if "/voxelforge/" in folder.toString():
+                folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        jvm.System.gc()

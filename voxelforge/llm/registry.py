@@ -8,6 +8,7 @@ from .licenses import OP2_SQL, op2_licenses
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .mixing import op10_mixing
 from .order_minhash import op7_near_dedup
+from .repeats import op8_repeats
 from .secrets import op6_secrets
 from .simhash import op4_fingerprints
 from .warc import OP3_SQL, op3_warc
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_secrets": op6_secrets,
     "op7_near_dedup": op7_near_dedup,
+    "op8_repeats": op8_repeats,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
 }
