@@ -221,8 +221,8 @@ def sample_trilinear(points: DataFrame, field: DataFrame, grid: Grid, keys: list
     at = [F.col(f"b{c}") + F.col(f"o.{c}") for c in "xyz"]
     spread = spread.select(*keys, weight.alias("w"), *[a.alias(n) for a, n in zip(at, "ijk", strict=True)]).where(in_grid(F.col("i"), F.col("j"), F.col("k"), grid.dims))
     met = spread.select(*keys, "w", flat_index(F.col("i"), F.col("j"), F.col("k"), grid.dims).alias("flat")).join(field.select("flat", "value"), "flat", "left")
-    sums = met.groupBy(*keys).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.coalesce("value", F.lit(0.0))).alias("s"))
-    return points.select(*keys).join(sums, keys, "left").select(*keys, F.when(F.col("w") > 1e-9, F.col("s") / F.col("w")).otherwise(F.lit(0.0)).alias("q"))
+    sums = met.groupBy(*keys).agg(F.sum("w").alias("__w"), F.sum(F.col("w") * F.coalesce("value", F.lit(0.0))).alias("__s"))
+    return points.select(*keys).join(sums, keys, "left").select(*keys, F.when(F.col("__w") > 1e-9, F.col("__s") / F.col("__w")).otherwise(F.lit(0.0)).alias("q"))
 
 
 def _in_voxels(points: DataFrame, grid: Grid, keys: list[str]) -> DataFrame:

@@ -55,7 +55,7 @@ for _how in ("max", "sum", "mean"):
 def primary_peak_first_vs_max(spark, sf_dir):
     ds = V.dataset(spark, sf_dir)
     qa = R.primary_peak_qa(ds.voxel, ds.fixel).withColumnRenamed("value", "max_amp")
-    return rounded(qa.join(R.first_peak(ds.fixel), "voxel_idx", "left"))
+    return rounded(qa.join(R.first_peak(ds.fixel), "voxel_idx", "left"), 9)
 
 
 @query
@@ -80,7 +80,7 @@ def wm_mask(spark, sf_dir):
 @query
 def field_otsu(spark, sf_dir):
     wm = U.field_otsu(V.dataset(spark, sf_dir))
-    return rounded(wm.field.select("flat", "value", F.lit(wm.iso).alias("iso")))
+    return rounded(wm.field.select("flat", "value", F.lit(wm.iso).alias("iso")), 9)
 
 
 @query
@@ -140,7 +140,7 @@ def fixel_jitter_hashes(spark, sf_dir):
 @query
 def mesh_jitter_hashes(spark, sf_dir):
     ids = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("vid"))
-    return rounded(ids.select("vid", *[j.alias(f"j{c}") for j, c in zip(mesh_jitter(F.col("vid")), "xyz", strict=True)]), 9)
+    return ids.select("vid", *[j.alias(f"j{c}") for j, c in zip(mesh_jitter(F.col("vid")), "xyz", strict=True)])
 
 
 def _synthetic(spark, sf_dir, jitter: bool = True) -> X.FixelIndex:
@@ -199,22 +199,23 @@ def ptt_walk(spark, sf_dir):
     return rounded(P.walk(start, step))
 
 
+# a radius of 2.5 would put the seed itself exactly on the edge of the third sample
 @query
 def arc_likelihood_straight(spark, sf_dir):
     fixels = _synthetic(spark, sf_dir).fixels
-    return rounded(P.best_arcs(fixels, fixels, TransportParams(n_k_samples=1)))
+    return rounded(P.best_arcs(fixels, fixels, TransportParams(support_radius_mm=2.4, n_k_samples=1)))
 
 
 @query
 def best_arc_likelihood(spark, sf_dir):
     fixels = _synthetic(spark, sf_dir).fixels
-    return rounded(P.best_arcs(fixels, fixels, TransportParams()))
+    return rounded(P.best_arcs(fixels, fixels, TransportParams(support_radius_mm=2.4)))
 
 
 @query
 def fanned_probe(spark, sf_dir):
     fixels = _synthetic(spark, sf_dir).fixels
-    return rounded(P.best_arcs(fixels, fixels, TransportParams(n_k_samples=1, probe_radius_mm=1.0, probe_count=6)))
+    return rounded(P.best_arcs(fixels, fixels, TransportParams(support_radius_mm=2.4, n_k_samples=1, probe_radius_mm=1.0, probe_count=6)))
 
 
 @query
@@ -243,7 +244,7 @@ def trace_streamlines(spark, sf_dir):
 
 def _mean(n: int):
     def run(spark, sf_dir):
-        return rounded(G.mean_filter(V.price_field(spark, sf_dir), V.grid(spark, sf_dir), n).select("flat", "value"))
+        return rounded(G.mean_filter(V.price_field(spark, sf_dir), V.grid(spark, sf_dir), n).select("flat", "value"), 9)
 
     run.__name__ = f"mean_filter_{n}"
     return query(run)
@@ -326,7 +327,7 @@ def one_ring(spark, sf_dir):
 @query
 def taubin_1(spark, sf_dir):
     m = _mesh(spark, sf_dir)
-    return rounded(M.taubin(m.vertex, m.triangle, 0.5, -0.53, 1))
+    return rounded(M.taubin(m.vertex, m.triangle, 0.5, -0.53, 1), 3)
 
 
 @query
@@ -359,7 +360,7 @@ def subset_mesh(spark, sf_dir):
 @query
 def visualisation_pair(spark, sf_dir):
     m = _mesh(spark, sf_dir)
-    return rounded(M.visualisation_pair(M.with_normals(m.vertex, m.triangle), 2.0))
+    return rounded(M.visualisation_pair(M.with_normals(m.vertex, m.triangle), 2.0), 9)
 
 
 @query
