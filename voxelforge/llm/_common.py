@@ -1,57 +1,33 @@
-"""Shared helpers of the training-data operators: durable intermediate tables and Arrow text buffers."""
+"""Shared helpers of the training-data operators: Arrow text buffers, words and shingles as NumPy hashes."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
+
+from ..tables import materialize, new_path, release, shared_dir, shuffle_partitions  # noqa: F401  the operators' way to them
 
 #: ASCII white space as the contracts define it, ``[\x20\x09-\x0D]``.
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of text that a kernel works on at once; bounds the memory of a Python worker.
-SLICE_BYTES = 2 << 20
-
-_fallback: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where that is unset (local tests) a temporary folder is made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _fallback:
-        _fallback.append("file://" + tempfile.mkdtemp(prefix="voxelforge-"))
-    return _fallback[0]
-
+SLICE_BYTES = 1 << 20
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/voxelforge/{name}-{uuid.uuid4().hex}"
 
+#: Bounds of an Arrow batch on its way to a Python worker: long texts can't make it large.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4_000
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def code_points(col: Column) -> Column:
-    return F.coalesce(F.length(col), F.lit(0)).cast("long")
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of Arrow batches to the bounds above; lower limits stay."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -144,15 +120,3 @@ def shingle_hashes(words: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndar
 
 def lowered(arr: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(arr, ""))
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete written tables that nothing will read again, and let Spark drop the shuffle files of finished jobs."""
-    for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for f in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
-            if "/voxelforge/" in folder.toString():
-                folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-        jvm.System.gc()

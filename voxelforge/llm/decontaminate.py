@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD, WORD_SQL, buffers, lowered, shingle_hashes, slices, word_hashes
+from ._common import WORD, WORD_SQL, bounded_batches, buffers, lowered, shingle_hashes, slices, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -109,6 +109,7 @@ def _candidates(block: ItemBlock, words: np.ndarray, woff: np.ndarray) -> set[tu
 
 def contained_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, item, item_shingles, shared_shingles, containment) for each document and item contained in it."""
+    bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     inner = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t"))
     id_type = inner.schema["__id"].dataType.simpleString()

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACES, buffers, lowered, slices
+from ._common import SPACES, bounded_batches, buffers, lowered, slices
 
 WINDOW = 256
 #: Classes of bytes: no letter of the samples, white space and the like, padding, and the border of samples.
@@ -198,6 +198,7 @@ def predict(arr: pa.Array, model: LanguageModel) -> tuple[list[str], np.ndarray,
 def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all by default, none of them read) plus lang_pred, score and bits_per_byte, one row in, one out."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     keep = docs.columns if keep is None else keep
     inner = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("__t"))

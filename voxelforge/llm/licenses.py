@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD, WORD_SQL, buffers, lowered, slices
+from ._common import WORD, WORD_SQL, bounded_batches, buffers, lowered, slices
 
 THRESHOLD = 0.8
 # Short notices of common licences by SPDX identifier, and two licences in full.
@@ -80,6 +80,7 @@ class Matcher:
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document: id and its matches array<struct<line, license, dice>>; line 0 is the whole text. No shuffle."""
+    bounded_batches(docs.sparkSession)
     inner = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t"))
     id_type = inner.schema["__id"].dataType.simpleString()
 

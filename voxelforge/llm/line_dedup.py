@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import buffers, materialize, new_path, shuffle_partitions, slices
+from ._common import bounded_batches, buffers, materialize, new_path, shuffle_partitions, slices
 
 MIN_CHARS = 10
 BATCHES = 4
@@ -122,6 +122,7 @@ class RunStore:
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """(doc, drop): for each document, the hashes of the keys whose lines it loses, as array<struct<h1, h2>>."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"))
     cuts = ids.agg(F.percentile_approx("doc", F.array(*[F.lit((i + 1) / batches) for i in range(batches - 1)]), 1000)).first()[0] if batches > 1 else []
     batch = F.lit(0)

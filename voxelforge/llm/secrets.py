@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import buffers, slices
+from ._common import bounded_batches, buffers, slices
 
 # The kinds that the contract lists, and tokens with a checksum (prefix, length of the random part).
 BASE_KINDS = ("assign", "access", "hex")
@@ -112,6 +112,7 @@ SCHEMA = "__id {id}, starts array<long>, ends array<long>, kinds array<string>"
 
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: its id and the spans as array<struct<start, end, kind>>; no shuffle."""
+    bounded_batches(docs.sparkSession)
     inner = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t"))
     id_type = inner.schema["__id"].dataType.simpleString()
 

@@ -35,7 +35,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import buffers, materialize, new_path
+from ._common import bounded_batches, buffers, materialize, new_path
 
 # Fixed values of the format
 VERSION = b"WARC/1.1"
@@ -249,6 +249,7 @@ def plan_revisits(pages: DataFrame, *, id_col: str, payload_col: str, min_revisi
 
 def write_warc(pages: DataFrame, uri: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES, date: str = DATE) -> DataFrame:
     """Write a record per row below ``uri`` and return the manifest (path, records, bytes)."""
+    bounded_batches(pages.sparkSession)
     inner = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("payload"))
     rows = plan_revisits(inner, id_col="id", payload_col="payload", min_revisit=min_revisit)
     rows = rows.withColumn("payload", F.when(~F.col("revisit"), F.col("payload"))).select("id", "url", "payload", "digest", "length", "revisit", "refers_to")
