@@ -36,14 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import _power_table, buffers, materialize, mix, release, shuffle_partitions, slices
+from ._common import _power_table, bounded_batches, buffers, materialize, mix, release, shuffle_partitions, slices
 from .run_length_index import RunLengthIndex
 
 LENGTH = 50
 ANCHOR = 32
 LAST_ID = (1 << 63) - 1
 #: Anchors that a task gathers before it packs them; bounds its memory.
-FLUSH = 2_000_000
+FLUSH = 500_000
 _KEY_BYTES = 6
 _NONE = np.uint64((1 << 64) - 1)
 
@@ -103,46 +103,48 @@ def pack_anchors(base: DataFrame, shards: int) -> DataFrame:
     shard once per flush only.
     """
 
-    def flush(gid: int, anchors: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        a, d = np.concatenate(anchors), np.concatenate(docs)
-        shard = ((a >> np.uint64(48)) % np.uint64(shards)).astype(np.int32)
-        key = keys_of(a)
-        order = np.lexsort((d, key, shard))
-        shard, key, d = shard[order], key[order], d[order]
-        new_key = np.concatenate([[True], (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])])
-        fresh = new_key | np.concatenate([[True], d[1:] != d[:-1]])
-        shard, key, d, new_key = shard[fresh], key[fresh], d[fresh], new_key[fresh]
-        first = np.flatnonzero(new_key)
-        count = np.minimum(np.diff(np.concatenate([first, [len(key)]])), 3).astype(np.uint8)
-        rest = ~new_key
-        yield _packed(gid, -1, b"", b"", [], [], key[rest].view(np.int64), d[rest])
-        shard, key, d = shard[first], key[first], d[first]
-        for s in np.unique(shard).tolist():
-            lo, hi = np.searchsorted(shard, [s, s + 1])
-            by_doc = np.argsort(d[lo:hi], kind="stable")
-            own = d[lo:hi][by_doc]
+    def flush(gid: int, anchors: list[np.ndarray], rows: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        ids, rank = np.unique(np.concatenate(docs), return_inverse=True)
+        a, d = np.concatenate(anchors), rank[np.concatenate(rows)]
+        order = np.argsort(a)
+        a, d = a[order], d[order]
+        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        size = np.diff(np.concatenate([first, [len(a)]]))
+        least, last = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
+        count = np.where(least == last, 1, np.minimum(size, 3)).astype(np.uint8)
+        rest = d != np.repeat(least, size)
+        yield _packed(gid, -1, b"", b"", [], [], keys_of(a[rest]).view(np.int64), ids[d[rest]])
+        a = a[first]
+        shard = ((a >> np.uint64(48)) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort((shard << 32) | least)
+        shard, key, count, least = shard[order], keys_of(a[order]), count[order], least[order]
+        edges = np.searchsorted(shard, np.arange(shards + 1))
+        for s in np.flatnonzero(np.diff(edges)).tolist():
+            lo, hi = edges[s], edges[s + 1]
+            own = least[lo:hi]
             heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            yield _packed(gid, s, _pack(key[lo:hi][by_doc]), count[lo:hi][by_doc].tobytes(), own[heads], np.diff(np.concatenate([heads, [hi - lo]])), [], [])
+            yield _packed(gid, s, _pack(key[lo:hi]), count[lo:hi].tobytes(), ids[own[heads]], np.diff(np.concatenate([heads, [hi - lo]])), [], [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gid, anchors, docs, size = TaskContext.get().partitionId() << 24, [], [], 0
+        gid, anchors, rows, docs, size, n = TaskContext.get().partitionId() << 24, [], [], [], 0, 0
         for batch in batches:
             for part in slices(batch, "t"):
                 data, off = buffers(part.column("t"))
                 a = window_anchors(data, off)
-                begins = np.zeros(len(a), bool)
-                begins[off[:-1][off[:-1] < len(a)]] = True
-                begins[1:] |= a[1:] != a[:-1]
-                at = np.flatnonzero(begins & (a != _NONE))
-                if len(at):
-                    anchors.append(a[at])
-                    docs.append(part.column("doc").to_numpy()[np.searchsorted(off, at, "right") - 1])
-                    size += len(at)
+                begins = a != _NONE
+                begins[1:] &= a[1:] != a[:-1]
+                starts = off[:-1][off[:-1] < len(a)]
+                begins[starts] = a[starts] != _NONE
+                at = np.flatnonzero(begins)
+                anchors.append(a[at])
+                rows.append(np.searchsorted(off, at, "right") - 1 + n)
+                docs.append(part.column("doc").to_numpy())
+                size, n = size + len(at), n + part.num_rows
                 if size >= FLUSH:
-                    yield from flush(gid, anchors, docs)
-                    gid, anchors, docs, size = gid + 1, [], [], 0
+                    yield from flush(gid, anchors, rows, docs)
+                    gid, anchors, rows, docs, size, n = gid + 1, [], [], [], 0, 0
         if size:
-            yield from flush(gid, anchors, docs)
+            yield from flush(gid, anchors, rows, docs)
 
     return base.select("doc", "t").mapInArrow(run, PACKED)
 
@@ -230,38 +232,60 @@ MARKS = "doc long, h long, begins array<int>, ends array<int>, w1 array<long>, w
 
 
 def match_regions(pairs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """From (owner, doc, h, starts, more, pieces, index): removed bytes [begin, end) and the windows left to compare.
+    """From (owner, doc, h, starts, more, pieces, index, index_h): removed bytes [begin, end) and the windows left to compare.
 
     Rows come sorted by owner from the merge join, so an index is built once for
     a run of rows; whatever the order, the result is the same.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, index = None, None
+        last, index = None, None
         for batch in batches:
-            out: list[tuple] = []
-            for i in range(batch.num_rows):
-                pieces = batch.column("index")[i].as_py()
-                key = (batch.column("owner")[i].as_py(), len(pieces), len(pieces[0]))
-                if key != owner or index is None:
-                    owner, index = key, RunLengthIndex(pieces, length)
-                begins, ends, w1, w2, at = [], [], [], [], []
-                for start, more, piece in zip(*(batch.column(c)[i].as_py() for c in ("starts", "more", "pieces")), strict=True):
+            keys = zip(batch.column("owner").to_pylist(), batch.column("index_h").to_pylist(), strict=True)
+            pieces_of, starts_of, more_of, index_of = (batch.column(c) for c in ("pieces", "starts", "more", "index"))
+            begins, ends, unsettled = [], [], []
+            for i, (key, pieces, starts, more) in enumerate(zip(keys, pieces_of.to_pylist(), starts_of.to_pylist(), more_of.to_pylist(), strict=True)):
+                if key != last or index is None:
+                    last, index = key, RunLengthIndex(index_of[i].as_py(), length)
+                row_begins, row_ends = [], []
+                for start, rest, piece in zip(starts, more, pieces, strict=True):
                     found = index.long_matches(piece)
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], found, [False]]).astype(np.int8)))
-                    begins += (edges[::2] + start).tolist()
-                    ends += (edges[1::2] + start + length - 1).tolist()
-                    if more and not found.all():
-                        left = np.flatnonzero(~found)
-                        data = np.frombuffer(piece, np.uint8)
-                        w1 += rolling_hashes(data, length)[left].view(np.int64).tolist()
-                        w2 += rolling_hashes(data, length, 1)[left].view(np.int64).tolist()
-                        at += (left + start).tolist()
-                out.append((begins, ends, w1, w2, at))
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("h"), *[pa.array([r[j] for r in out], pa.list_(k)) for j, k in enumerate(kinds)]], names=[c.split()[0] for c in MARKS.split(", ")])
-
-    return pairs.select("owner", "doc", "h", "starts", "more", "pieces", "index").mapInArrow(run, MARKS)
+                    some = found.any()
+                    if some:
+                        edges = np.flatnonzero(np.diff(np.concatenate([[False], found, [False]]).astype(np.int8)))
+                        row_begins += (edges[::2] + start).tolist()
+                        row_ends += (edges[1::2] + start + length - 1).tolist()
+                    if rest and not (some and found.all()):
+                        unsettled.append((i, start, piece, found))
+                begins.append(row_begins)
+                ends.append(row_ends)
+            kinds = (pa.int64(), pa.int64(), pa.int32())
+            left = [_lists(batch.num_rows, *x, kind) for x, kind in zip(_window_hashes(unsettled, length), kinds, strict=True)]
+            cols = [pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), *left]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("h"), *cols], names=[c.split()[0] for c in MARKS.split(", ")])
+
+    return pairs.select("owner", "doc", "h", "starts", "more", "pieces", "index", "index_h").mapInArrow(run, MARKS)
+
+
+def _window_hashes(unsettled: list[tuple], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For pieces (row, start, piece, found): both hashes and the place of each window that was not found, with its row."""
+    if not unsettled:
+        none = np.zeros(0, np.int64)
+        return [(none, none)] * 3
+    data = np.frombuffer(b"".join(p for _, _, p, _ in unsettled), np.uint8)
+    sizes = np.array([len(p) for _, _, p, _ in unsettled])
+    begin = np.cumsum(sizes) - sizes
+    windows = np.concatenate([np.flatnonzero(~f) + b for (_, _, _, f), b in zip(unsettled, begin.tolist(), strict=True)])
+    counts = [int((~f).sum()) for _, _, _, f in unsettled]
+    rows = np.repeat([u[0] for u in unsettled], counts)
+    at = windows - np.repeat(begin - np.array([u[1] for u in unsettled]), counts)
+    return [(rows, rolling_hashes(data, length)[windows].view(np.int64)), (rows, rolling_hashes(data, length, 1)[windows].view(np.int64)), (rows, at)]
+
+
+def _lists(n: int, rows: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """Values by row, rows ascending, as one list for each of n rows."""
+    offsets = np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(kind.to_pandas_dtype())))
 
 
 def covered(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -275,6 +299,7 @@ def covered(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, kept binary, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), text.alias("t"))
     base = base.withColumn("h", F.xxhash64("t"))
@@ -295,8 +320,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     asked = base.select("doc", "h", "t").join(by_doc.hint("shuffle_hash"), "doc").join(copies, ["doc", "h"], "left_anti")
     regions = materialize(cut_regions(asked, length), "repeat-regions")
     release(by_doc)
-    index = regions.where("owner = doc").select(F.col("owner").alias("o"), F.col("pieces").alias("index"))
-    pairs = regions.where("owner != doc").join(index, F.col("owner") == F.col("o"))
+    index = regions.where("owner = doc").select(F.col("owner").alias("o"), F.col("h").alias("index_h"), F.col("pieces").alias("index"))
+    pairs = regions.where("owner != doc").join(index.hint("merge"), F.col("owner") == F.col("o"))
     marks = materialize(match_regions(pairs, length), "repeat-marks")
     release(regions)
 

@@ -92,7 +92,7 @@ class RunLengthIndex:
         n, need, text = len(pattern), self.length, self.text
         out = np.zeros(max(0, n - need + 1), bool)
         i, pos, size = n, len(text) - 1, 0  # pattern[i:i + size] == text[pos:pos + size]
-        while i > 0:
+        while i + size >= need and i > 0:  # else no string of that length can begin further left
             # skip the stretch on which both agree
             same = _common_back(pattern, i, text, pos)
             if same:
