@@ -100,7 +100,7 @@ def cell_triangles(case: int) -> list[tuple[tuple[int, int], ...]]:
         while (nxt := follow[loop[-1]]) != loop[0]:
             loop.append(nxt)
         left -= set(loop)
-        out += [(loop[0], loop[m], loop[m + 1]) for m in range(1, len(loop) - 1)]
+        out += [(loop[0], loop[m + 1], loop[m]) for m in range(1, len(loop) - 1)]
     return out
 
 

@@ -73,8 +73,9 @@ def _typed(values: DataFrame, key: str, dtype: str) -> DataFrame:
         raise ValueError(f"unknown dtype {dtype!r}; one of {sorted(DTYPES)}")
     v = F.col("value")
     if dtype in LIMITS:
-        ok = v.isNotNull() & v.between(0, LIMITS[dtype])
-        v = F.when(ok, v).otherwise(F.raise_error(F.lit(f"value out of range of {dtype}")).cast("double"))
+        # checked before anything is overwritten
+        if not values.where(v.isNull() | ~v.between(0, LIMITS[dtype])).isEmpty():
+            raise ValueError(f"value out of range of {dtype}")
     return values.select(F.col(key).cast("long").alias(key), v.cast(DTYPES[dtype]).alias("value"))
 
 
