@@ -36,7 +36,7 @@ def range_join(probes: DataFrame, index: DataFrame, radius: float, *, probe: str
     right = index.select(*index.columns, *[c.alias(f"__r{a}") for c, a in zip(_cells(radius, point), "ijk", strict=True)])
     gap = [a - b for a, b in zip(vec(probe), vec(point), strict=True)]
     d2 = dot(gap, gap)
-    met = left.join(right, (F.col("__li") == F.col("__ri")) & (F.col("__lj") == F.col("__rj")) & (F.col("__lk") == F.col("__rk")) & (d2 <= radius * radius))
+    met = left.join(right.hint("shuffle_hash"), (F.col("__li") == F.col("__ri")) & (F.col("__lj") == F.col("__rj")) & (F.col("__lk") == F.col("__rk")) & (d2 <= radius * radius))
     return met.select(*probes.columns, *index.columns, d2.alias("d2"))
 
 
