@@ -63,7 +63,7 @@ QA = "qa AS (SELECT vox.voxel_idx, i, j, k, greatest(0e0, coalesce(max(amplitude
 FIRST = "fp AS (SELECT voxel_idx, min_by(amplitude, peak_no) AS first_amp FROM fx GROUP BY voxel_idx)"
 PRICE = f"{GRID}, {VOX}, f0 AS (SELECT (i::BIGINT * ny + j) * nz + k AS flat, i, j, k, o_totalprice / 1e5 AS value FROM vox, g WHERE o_totalprice <> 0)"
 MASK = f"{PRICE}, mask AS (SELECT flat, i, j, k FROM f0 WHERE value > 1.5e0)"
-SPARSE = f"{PRICE}, mask AS (SELECT flat, i, j, k FROM f0 WHERE value > 3e0)"
+SPARSE = f"{PRICE}, mask AS (SELECT flat, i, j, k FROM f0 WHERE value > 4e0)"
 CUBE = "o AS (SELECT a, b, c FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b), (SELECT unnest([-1, 0, 1]) AS c))"
 SEVEN = "o AS (SELECT * FROM (VALUES (0,0,0), (-1,0,0), (1,0,0), (0,-1,0), (0,1,0), (0,0,-1), (0,0,1)) t(a, b, c))"
 

@@ -275,8 +275,8 @@ def negate_mask(spark, sf_dir):
 
 
 def _sparse(spark, sf_dir) -> DataFrame:
-    """A mask with many components: o_totalprice above 300000."""
-    return V.price_field(spark, sf_dir).where("value > 3.0").select("flat", "i", "j", "k")
+    """A mask with many components: o_totalprice above 400000."""
+    return V.price_field(spark, sf_dir).where("value > 4.0").select("flat", "i", "j", "k")
 
 
 @query
