@@ -31,6 +31,8 @@ from ._common import bounded_batches, buffers, materialize, new_path, shuffle_pa
 MIN_CHARS = 10
 BATCHES = 4
 FANOUT = 2
+#: A key is hot in a batch if at least one in this many of the batch's (document, key) rows has it; so there are fewer hot keys than this.
+HOT_SHARE = 1_000
 LAST_ID = (1 << 63) - 1
 
 
@@ -91,7 +93,7 @@ class RunStore:
         return [self.spark.table(t).where("fresh").select("h1", "h2", "owner") for level in self.levels for t in level]
 
     def resolve(self, keys: DataFrame) -> str:
-        """Merge the batch's (h1, h2, owner, last) with the runs, keep what is new as a run, and compact.
+        """Merge the batch's (h1, h2, owner, last, n) with the runs, keep what is new as a run, and compact.
 
         Returns the table of the batch's hashes with their owners: ``fresh`` for
         new ones, ``shared`` where some document of the batch loses the line.
@@ -102,7 +104,7 @@ class RunStore:
             owners.append(f"o{i}")
         prior = F.coalesce(*owners) if owners else F.lit(None).cast("long")
         keys = keys.withColumn("prior", prior)
-        table = self.bucketed(keys.select("h1", "h2", F.coalesce("prior", "owner").alias("owner"), F.col("prior").isNull().alias("fresh"), (F.col("prior").isNotNull() | (F.col("last") > F.col("owner"))).alias("shared")), "run")
+        table = self.bucketed(keys.select("h1", "h2", F.coalesce("prior", "owner").alias("owner"), F.col("prior").isNull().alias("fresh"), (F.col("prior").isNotNull() | (F.col("last") > F.col("owner"))).alias("shared"), "n"), "run")
         self._add(table, 0)
         return table
 
@@ -113,7 +115,7 @@ class RunStore:
         if len(self.levels[level]) >= self.fanout:
             merged = None
             for t in self.levels[level]:
-                run = self.spark.table(t).where("fresh")
+                run = self.spark.table(t).where("fresh").select("h1", "h2", "owner", "fresh")
                 merged = run if merged is None else merged.unionByName(run)
             self.levels[level] = []
             self._add(self.bucketed(merged, f"level{level + 1}"), level + 1)
@@ -136,13 +138,27 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     drops = None
     for b in range(len(set(cuts or [])) + 1):
         own = hashes.where(F.col("batch") == b)
-        table = store.resolve(own.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")))
-        shared = spark.table(table).where("shared").select("h1", "h2", "owner")
-        lost = own.join(shared, ["h1", "h2"]).where("doc != owner").select("doc", "h1", "h2")
+        table = store.resolve(own.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count("*").alias("n")))
+        lost = _lost(own, spark.table(table).where("shared").select("h1", "h2", "owner", "n"))
         drops = lost if drops is None else drops.unionByName(lost)
     return drops.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
 
 
+def _lost(own: DataFrame, shared: DataFrame) -> DataFrame:
+    """(doc, h1, h2) of the batch's rows whose key is owned by another document.
+
+    The rows of a hot key stay where they are: hot keys, fewer than HOT_SHARE,
+    are broadcast; all others meet in a merge join.
+    """
+    rows = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    limit = F.lit(rows / HOT_SHARE)
+    hot = shared.where(F.col("n") > limit).select("h1", "h2", F.col("owner").alias("hot_owner"))
+    marked = own.select("doc", "h1", "h2").join(F.broadcast(hot), ["h1", "h2"], "left")
+    here = marked.where("hot_owner is not null and doc != hot_owner")
+    rest = marked.where("hot_owner is null").join(shared.where(F.col("n") <= limit).select("h1", "h2", "owner"), ["h1", "h2"]).where("doc != owner")
+    return here.select("doc", "h1", "h2").unionByName(rest.select("doc", "h1", "h2"))
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, keep: list[str] | None = None) -> DataFrame:
     """All rows with ``keep`` columns, then kept_text, n_lines and n_dropped."""
     keep = docs.columns if keep is None else keep
