@@ -47,6 +47,12 @@ def source_key(col):
     return F.when(col.isNull(), "1").otherwise(F.concat(F.lit("0"), col.cast("string")))
 
 
+def shuffle_key(id_col, seed: int):
+    """40 bits of the MD5 of id and seed: the place in the shuffled order, the same in any SQL engine."""
+    text = F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 10), 16, 10).cast("long")
+
+
 def _parts(rows):
     """Ranges of about RANGE_ROWS rows each, or as many ranges as rows in a range where there are more."""
     return F.ceil(rows / F.greatest(F.lit(float(RANGE_ROWS)), F.sqrt(rows)))
@@ -85,7 +91,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     be counted, unless it is carried.
     """
     sized = docs.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("source_key"), word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"__x_{c}") for c in carry])
-    sized = materialize(sized.withColumn("h", F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 40))), "mix-sized")
+    sized = materialize(sized.withColumn("h", shuffle_key(F.col("id"), seed)), "mix-sized")
     by_source = sized.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     targets = source_targets(by_source, weights=weights, share=share, repeats=repeats)
     sources = materialize(by_source.select("source_key", "source_rows").join(targets, "source_key"), "mix-sources")
@@ -152,3 +158,22 @@ def mixed_documents(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id"
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS sk, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                  ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':42'), 1, 10))::BIGINT AS h FROM documents),
+s AS (SELECT sk, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY sk),
+r AS (SELECT *, [5e0, 2e0, 1e0][CAST((row_number() OVER (ORDER BY sk) - 1) % 3 + 1 AS INTEGER)] AS weight, 2e0 * source_size AS cap FROM s),
+f AS (SELECT *, 1.5e0 * CAST(sum(source_size) OVER () AS DOUBLE) AS budget, coalesce(sum(cap) OVER w, 0e0) AS spent, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0e0) AS rest
+      FROM r WINDOW w AS (ORDER BY cap / weight, sk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT min_by((budget - spent) / rest, cap / weight) FILTER (WHERE cap > weight * ((budget - spent) / rest)) AS level FROM f),
+t AS (SELECT sk, source_size, coalesce(CASE WHEN level IS NULL THEN cap ELSE least(cap, weight * level) END, 0e0) AS target FROM f, v),
+q AS (SELECT d.*, source_size, target, CAST(sum(size) OVER (PARTITION BY sk ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum FROM d JOIN t USING (sk)),
+c AS (SELECT *, (cum - size / 2e0 + epoch * source_size) / target AS middle FROM q, (SELECT unnest([0, 1]) AS epoch) WHERE size > 0 AND target > 0),
+o AS (SELECT *, CAST(sum(size) OVER (ORDER BY middle, h, sk, doc_id, size ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS total FROM c),
+x AS (SELECT max(middle) AS cut FROM o WHERE total - size / 2e0 <= (SELECT max(budget) FROM f)),
+k AS (SELECT doc_id, sk, size, count(*) AS copies FROM c, x WHERE middle <= cut GROUP BY ALL)
+SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(k.copies, 0) * q.size AS BIGINT) AS taken
+FROM q LEFT JOIN k ON q.doc_id = k.doc_id AND q.sk = k.sk AND q.size = k.size
+"""

@@ -6,9 +6,9 @@ from .decontaminate import OP1_SQL, op1_decontaminate
 from .language_id import op9_language_id
 from .licenses import OP2_SQL, op2_licenses
 from .line_dedup import OP5_SQL, op5_line_dedup
-from .mixing import op10_mixing
+from .mixing import OP10_SQL, op10_mixing
 from .order_minhash import op7_near_dedup
-from .repeats import op8_repeats
+from .repeats import OP8_SQL, op8_repeats
 from .secrets import op6_secrets
 from .simhash import op4_fingerprints
 from .warc import OP3_SQL, op3_warc
@@ -31,4 +31,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_licenses": OP2_SQL,
     "op3_warc": OP3_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op8_repeats": OP8_SQL,
+    "op10_mixing": OP10_SQL,
 }

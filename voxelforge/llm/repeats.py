@@ -364,3 +364,18 @@ def _apply(rows: DataFrame, length: int) -> DataFrame:
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, encode(coalesce(text, '')) AS x FROM documents),
+w AS (SELECT doc_id, p, x[p + 1:p + 50] AS s FROM (SELECT doc_id, x, unnest(range(octet_length(x) - 49)) AS p FROM d WHERE octet_length(x) >= 50)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+r AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE least < doc_id),
+c AS (SELECT DISTINCT doc_id, p + o AS b FROM r, (SELECT unnest(range(50)) AS o)),
+n AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before <> b - 1) AS n_spans FROM (SELECT doc_id, b, lag(b) OVER (PARTITION BY doc_id ORDER BY b) AS before FROM c) GROUP BY doc_id),
+a AS (SELECT doc_id, x, unnest(range(octet_length(x))) AS b FROM d WHERE doc_id IN (SELECT doc_id FROM n)),
+k AS (SELECT a.doc_id, string_agg(hex(x[a.b + 1:a.b + 1]), '' ORDER BY a.b) AS kept FROM a LEFT JOIN c ON a.doc_id = c.doc_id AND a.b = c.b WHERE c.b IS NULL GROUP BY a.doc_id)
+SELECT d.doc_id, CAST(octet_length(x) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       CASE WHEN n_removed IS NULL THEN sha256(text) ELSE sha256(unhex(coalesce(kept, ''))) END AS kept_sha256
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+"""
