@@ -119,7 +119,8 @@ def near_fingerprints(queries: DataFrame, index: DataFrame, *, radius: int = RAD
     for j in range(most):
         first = first & ((F.col(f"s{j}") == 0) | (diff.bitwiseAND(F.col(f"s{j}")) != 0))
     hit = (F.col("tq") == F.col("tx")) & (F.col("kq") == F.col("kx")) & (F.bit_count(diff) <= radius) & first
-    return q.join(x, hit).select("q", "fp", "n", F.bit_count(diff).alias("distance"))
+    # both sides grow with the corpus: neither is broadcast, however small it looks before the tables multiply it
+    return q.join(x.hint("merge"), hit).select("q", "fp", "n", F.bit_count(diff).alias("distance"))
 
 
 def id_ranges(ids: DataFrame, col: str, parts: int) -> tuple[list[int], int]:
