@@ -88,6 +88,11 @@ cc AS (SELECT node, dense_rank() OVER (ORDER BY root) AS label FROM walk)"""
 
 SIX_EDGES = "ed AS (SELECT m.flat AS u, n.flat AS v FROM mask m, o JOIN mask n ON n.i = m.i + a AND n.j = m.j + b AND n.k = m.k + c WHERE abs(a) + abs(b) + abs(c) = 1)"
 VOXEL_CC = f"WITH RECURSIVE {SPARSE}, {SEVEN}, {SIX_EDGES}, nodes AS (SELECT flat AS node FROM mask), {components('ed', 'nodes')}"
+SPREAD = f"""WITH RECURSIVE {MASK}, {SEVEN}, {SIX_EDGES}, walk(node, level) USING KEY (node) AS (
+  SELECT flat AS node, CAST(0 AS BIGINT) AS level FROM mask WHERE flat = (SELECT min(flat) FROM mask) OR flat = (SELECT max(flat) FROM mask)
+  UNION
+  SELECT e.v AS node, min(p.level) + 1 AS level FROM walk p JOIN ed e ON p.node = e.u LEFT JOIN recurring.walk w ON w.node = e.v WHERE w.node IS NULL GROUP BY e.v)
+SELECT node AS flat, CAST(level AS BIGINT) AS level FROM walk"""
 MESH = """vert AS (SELECT o_orderkey AS vid, (o_orderkey // 24) - 100.25e0 AS x, (o_orderkey % 24)::DOUBLE AS y, o_totalprice / 1e5 AS z FROM orders),
 cell AS (SELECT o_orderkey AS v FROM orders WHERE o_orderkey % 24 < 23 AND (o_orderkey // 24) % 40 <> 39 AND o_orderkey + 25 <= (SELECT max(o_orderkey) FROM orders)),
 tri AS (SELECT 2 * v AS tid, v AS a, v + 24 AS b, v + 1 AS c FROM cell UNION ALL SELECT 2 * v + 1, v + 1, v + 24, v + 25 FROM cell)"""
@@ -253,6 +258,7 @@ ORACLE_SQL: dict[str, str] = {
     "component_sizes": f"{VOXEL_CC} SELECT CAST(label AS BIGINT) AS label, CAST(count(*) AS BIGINT) AS count FROM cc GROUP BY label UNION ALL SELECT 0, (SELECT nx::BIGINT * ny * nz FROM g) - (SELECT count(*) FROM cc)",
     "drop_small": f"{VOXEL_CC} SELECT node AS flat FROM cc WHERE label IN (SELECT label FROM cc GROUP BY label HAVING count(*) >= 5)",
     "keep_largest": f"{VOXEL_CC} SELECT node AS flat FROM cc WHERE label = (SELECT label FROM cc GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)",
+    "propagate_labels": SPREAD,
     "mesh_components": MESH_CC,
     "one_ring": f"WITH {MESH}, {RING} SELECT u, v FROM ring",
     "taubin_1": f"WITH {MESH}, {RING}, {laplace('vert', 'l1', '0.5::DOUBLE')}, {laplace('l1', 'l2', '(-0.53::DOUBLE)')} SELECT vid, {r('x y z', 3)} FROM l2",
