@@ -5,7 +5,9 @@ import io
 import math
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +100,37 @@ def test_size_bounds_lose_nothing():
         assert (found[0] if found else 0) == (best if best >= 0.8 else 0)
 
 
+def test_licences_across_lines(spark):
+    full = dict(LC.full_texts())
+    names = {f.name.removesuffix(".txt"): f.read_text() for f in (Path(LC.__file__).parent / "license_texts").glob("*.txt")}
+    wrapped = lambda text, mark: "\n".join(mark + x for x in textwrap.wrap(text, 60))
+    code = "\n".join(f"value_{i} = call_{i}(other_{i}, {i})" for i in range(400))
+    texts = {
+        "MIT": "Copyright (c) 2020 someone\n\n" + names["MIT"], "ISC": names["ISC"], "BSD-3-Clause": wrapped(names["BSD-3-Clause"], " * ") + "\n" + code, "BSD-2-Clause": wrapped(names["BSD-2-Clause"], "# ") + "\n" + code,
+        "GPL-2.0": wrapped(names["GPL-2.0.header"], "// ") + "\n" + code, "LGPL-3.0": code + "\n" + wrapped(names["LGPL-3.0.header"], "") + "\n" + code, "Apache-2.0": code + "\n" + names["Apache-2.0"], "GPL-3.0": names["GPL-3.0"],
+        "CC-BY-4.0": "a word " * 60 + "Licensed under CC BY 4.0. " + "and more " * 60,
+    }
+    rows = [(i, t) for i, t in enumerate(texts.values())] + [(100, wrapped(full["MIT"], "") + "\n" + code + "\n" + wrapped(full["ISC"], "")), (101, code)]
+    got = {r["doc_id"]: r["matches"] for r in LC.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in enumerate(texts):
+        assert {m["license"] for m in got[i]} == {name}, (name, got[i])
+    assert [m["license"] for m in got[100]] == ["MIT", "ISC"] and got[101] == []
+    assert [m["line"] for m in got[5]] == [401]
+
+
+def test_windows_lose_nothing():
+    rng = random.Random(5)
+    text = [("A", "one two three four five six"), ("B", "two three two three seven eight nine")]
+    win = LC.Windows(text)
+    for _ in range(300):
+        own = [rng.choice("one two three four five six seven eight nine x y".split()) for _ in range(rng.randint(0, 8))]
+        own[rng.randint(0, len(own)) : 0] = rng.choice(text)[1].split()[rng.randint(0, 2) :]
+        spans = [own[a:b] for a in range(len(own)) for b in range(a + 2, len(own) + 1)]
+        best = max((LC.dice(LC.bigrams([w.encode() for w in s]), LC.bigrams(t.encode().split())) for s in spans for _, t in text), default=0)
+        data = np.frombuffer(" ".join(own).encode(), np.uint8)
+        assert any(win.search(data, np.array([0, len(data)])).values()) == (best >= 0.8)
+
+
 # --- 3 WARC
 
 
