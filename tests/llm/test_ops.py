@@ -347,6 +347,36 @@ def test_near_duplicates(spark, hard, hard_rows):
     assert OM.near_duplicates(hard.limit(0)).count() == 0
 
 
+def classes_by_brute_force(texts):
+    w = [np.array([hash(x) for x in t.split()], np.int64) for t in texts]
+    root = list(range(len(w)))
+    for j in range(len(w)):
+        for i in range(j):
+            if OM.similar(w[j], w[i]) >= 0:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def near_classes(spark, texts):
+    return [r["class_id"] for r in OM.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc").collect()]
+
+
+def test_similar_texts_meet_in_a_crowded_bucket(spark):
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(70)]
+    texts = []
+    for g in range(90):  # pairs with a passage in common with all, chains of three among them
+        own = [f"o{g}z{i}" for i in range(30)]
+        for n in range(2 + (g % 9 == 0)):
+            t = passage + own
+            for i in range(9 * n):
+                t[70 + (i if n < 2 else i + 3)] = f"x{g}z{n}z{i}"
+            texts.append(" ".join(t))
+    rng.shuffle(texts)
+    assert near_classes(spark, texts) == classes_by_brute_force(texts)
+
+
 def test_occurrences_and_order_count():
     w = lambda s: word_hashes(np.frombuffer(s.encode(), np.uint8), np.array([0, len(s)]))
     one, two = "a b c d e f g h i j k l m n o p", "i j k l m n o p a b c d e f g h"
