@@ -377,6 +377,19 @@ def test_similar_texts_meet_in_a_crowded_bucket(spark):
     assert near_classes(spark, texts) == classes_by_brute_force(texts)
 
 
+def test_scattered_changes_at_the_threshold(spark):
+    rng = random.Random(4)
+    texts = []
+    for g, n in enumerate([5, 9, 10, 12, 17, 20, 40, 60, 100, 300] * 6):
+        a = [f"w{g}z{i}" for i in range(n)]
+        b = a[:]
+        for i in [n // 2] if n < 10 else rng.sample(range(n), n // 5):
+            b[i] = f"c{g}z{i}"
+        texts += [" ".join(a), " ".join(b)]
+    got = near_classes(spark, texts)
+    assert sum(got[i] == got[i + 1] for i in range(0, len(got), 2)) >= 59
+
+
 def test_occurrences_and_order_count():
     w = lambda s: word_hashes(np.frombuffer(s.encode(), np.uint8), np.array([0, len(s)]))
     one, two = "a b c d e f g h i j k l m n o p", "i j k l m n o p a b c d e f g h"
