@@ -485,6 +485,15 @@ def test_languages_are_told_apart(spark, hard, hard_rows):
     assert LI.identify(hard.limit(0), LI.fit_language_model(train)).isEmpty()
 
 
+def test_rare_labels_win_nothing(spark, hard_rows):
+    rows = [(i, t, lang) for i, t, lang, _ in hard_rows if i is not None and i < 180]
+    odd = [(9000, None, "aa"), (9001, "", "ab"), (9002, "12 %", "ac"), (9003, "qz", "ad")]
+    fit = lambda r: LI.fit_language_model(spark.createDataFrame(r, "doc_id long, text string, lang string"))
+    model = fit(rows + odd)
+    assert model.langs == ["ad", "de", "en"]
+    assert LI.predict(pa.array([t for _, t, _ in rows]), model)[0] == [lang for *_, lang in rows]
+
+
 def test_held_out_is_crc32(spark):
     import zlib
 

@@ -2,8 +2,9 @@
 
 A suffix automaton of a bounded sample of labelled text stands for each
 language. A text is parsed greedily into the longest phrases that occur in the
-sample; phrases times log2(sample length) over text length estimates the cross
-entropy, and the language with the least wins.
+sample; phrases times log2(length of the longest sample) over text length estimates
+the cross entropy, and the language with the least wins. Languages without a letter
+in their sample are not learned.
 
 The automata are laid out as dense transition tables in which a missing edge
 starts the next phrase, so that many windows of text advance together, one byte
@@ -123,7 +124,7 @@ def fit_language_model(labelled: DataFrame, *, text_col: str = "text", lang_col:
         per = sample_bytes // 16
         for r in sample.select("__l", "__h", F.substring("__t", 1, per).alias("__t")).collect():
             texts[r["__l"]].append((r["__h"], r["__t"]))
-    langs = sorted(texts)
+    langs = sorted(k for k, rows in texts.items() if any(c.isalpha() for _, t in rows for c in t))
     ascii_space = np.full(256, SPACE, np.uint8)
     ascii_space[128:] = OTHER
     letters = [*range(ord("a"), ord("z") + 1)]
@@ -148,7 +149,8 @@ def fit_language_model(labelled: DataFrame, *, text_col: str = "text", lang_col:
                     seq += [*cls[off[i] : off[i + 1]].tolist(), BORDER]
         sizes.append(max(2, len(seq)))
         tables.append(_table(seq, n))
-    return LanguageModel(langs, sizes, classes, n, tables)
+    # a phrase costs the same in all languages: a small sample must not make it cheap
+    return LanguageModel(langs, [max(sizes)] * len(sizes) if sizes else [], classes, n, tables)
 
 
 def phrase_counts(arr: pa.Array, model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
