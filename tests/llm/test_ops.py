@@ -158,6 +158,14 @@ def test_salvage_finds_later_records_and_logs_gaps():
     assert pages_of(io.BytesIO(b"")) == [] and pages_of(io.BytesIO(b"x" * 10)) == [(0, 10)]
 
 
+def test_long_urls_are_read_back():
+    url = "http://x/" + "u" * 100_000
+    rec = WA.build_record(1, url, b"body", hashlib.sha1(b"body").hexdigest(), 4, None, False)
+    for data in (rec, WA.gzip_member(rec)):
+        (got,) = WA.salvage(io.BytesIO(data))
+        assert got.headers["warc-target-uri"] == url and got.block == b"body"
+
+
 def test_salvage_streams_large_archives():
     members = [WA.gzip_member(record(i, 40_000), 0) for i in range(300)]
     blob = bytearray(b"".join(members))

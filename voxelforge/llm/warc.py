@@ -47,7 +47,7 @@ DATE = "1970-01-01T00:00:00Z"
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 32 << 20
 CHUNK = 1 << 20
-#: A header block longer than this is taken for damage.
+#: A header block longer than this and than the largest block is taken for damage.
 MAX_HEADER = 1 << 16
 ID_PREFIX = "urn:page:"
 
@@ -155,7 +155,7 @@ def _plain(win: _Window, at: int, limit: int) -> Record | None:
     while True:
         head = win.at(at, at + size)
         cut = head.find(b"\r\n\r\n")
-        if cut >= 0 or size >= MAX_HEADER or len(head) < size:
+        if cut >= 0 or size >= max(MAX_HEADER, limit) or len(head) < size:
             break
         size *= 4
     headers = _parse(head[: cut + 2]) if cut >= 0 else None
