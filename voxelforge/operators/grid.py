@@ -7,17 +7,20 @@ voxels that are set: (flat, i, j, k).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vector import flat_index, in_grid, unflatten
 from ..schema import Grid
 from ..tables import materialize, new_path
-from .components import numbered_components
+from .components import numbered_components, ordered_ids
 
 # Fixed value: the order in which the six neighbours are visited
 SIX = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
+#: Levels that a task spreads labels on its own, and the side of its block of cells.
+REACH = 32
 CUBE = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 
 
@@ -123,32 +126,98 @@ def keep_largest(mask: DataFrame, grid: Grid) -> DataFrame:
     return with_ijk(labels.join(F.broadcast(top), "label", "left_semi").select("flat"), grid)
 
 
-def propagate_labels(seeds: DataFrame, target: DataFrame, grid: Grid) -> DataFrame:
+def blocks_around(cells: DataFrame, grid: Grid, side: int, halo: int) -> DataFrame:
+    """Rows (i, j, k, ...) copied to every block whose cube of ``side`` cells, widened by ``halo``, holds them; ``block`` numbers it."""
+    block = F.lit(0).cast("long")
+    for c, n in zip("ijk", grid.dims, strict=True):
+        last = (n - 1) // side
+        low, high = (F.floor((F.col(c) + d) / side) for d in (-halo, halo))
+        near = F.sequence(F.greatest(F.lit(0), low).cast("int"), F.least(F.lit(last), high).cast("int"))
+        cells = cells.withColumn(f"__b{c}", F.explode(near) if halo else F.floor(F.col(c) / side).cast("int"))
+        block = block * (last + 1) + F.col(f"__b{c}")
+    return cells.withColumn("block", block).drop(*[f"__b{c}" for c in "ijk"])
+
+
+def _box(rows: pd.DataFrame) -> tuple[np.ndarray, list[int], list[int]]:
+    """Place of each row in its bounding box, which is a cell wider on every side; the box's least cell and its strides."""
+    low = [int(rows[c].min()) - 1 for c in "ijk"]
+    size = [int(rows[c].max()) + 2 - m for c, m in zip("ijk", low, strict=True)]
+    strides = [size[1] * size[2], size[2], 1]
+    return sum((rows[c].to_numpy(np.int64) - m) * t for c, m, t in zip("ijk", low, strides, strict=True)), [size[0] * strides[0], *low], strides
+
+
+def _spread(dims: tuple[int, int, int], side: int, base: int):
+    """Breadth-first spreading of ``side`` levels within a widened block, a level at a time as NumPy gathers.
+
+    ``cur`` holds the last level in queue order; the first visit of a cell in
+    the order of (queue, SIX) decides its place in the next level.
+    """
+    per_axis = [(n - 1) // side + 1 for n in dims]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        at, (cells, *_), strides = _box(rows)
+        rank, flat = rows["rank"].to_numpy(), rows["flat"].to_numpy()
+        block = int(rows["block"].iloc[0])
+        home = (block // (per_axis[1] * per_axis[2]), block // per_axis[2] % per_axis[1], block % per_axis[2])
+        core = np.all([rows[c].to_numpy() // side == h for c, h in zip("ijk", home, strict=True)], 0)
+        row_of = np.full(cells, -1, np.int64)
+        row_of[at[rank < 0]] = np.flatnonzero(rank < 0)
+        start = np.flatnonzero(rank >= 0)
+        start = start[np.argsort(rank[start], kind="stable")]
+        cur, root, label, way = at[start], rank[start], rows["label"].to_numpy()[start], np.zeros((len(start), 0), np.uint8)
+        steps = np.array([sum(d * t for d, t in zip(s, strides, strict=True)) for s in SIX])
+        out = []
+        for level in range(base + 1, base + side + 1):
+            visits = (cur[:, None] + steps).ravel()
+            visits = np.where(row_of[visits] >= 0, visits, -1)
+            found, first = np.unique(visits, return_index=True)
+            first = np.sort(first[found >= 0])
+            if not len(first):
+                break
+            cur, parent = visits[first], first // len(steps)
+            root, label = root[parent], label[parent]
+            way = np.concatenate([way[parent], (first % len(steps)).astype(np.uint8)[:, None]], 1)
+            row, row_of[cur] = row_of[cur], -1
+            own = np.flatnonzero(core[row])
+            last = level == base + side
+            ways = [way[o].tobytes() for o in own] if last else [b""] * len(own)
+            out.append(pd.DataFrame({"flat": flat[row[own]], "label": label[own], "level": np.full(len(own), level, np.int32), "rank": root[own], "way": ways}))
+        return pd.concat(out) if out else pd.DataFrame({"flat": [], "label": [], "level": [], "rank": [], "way": []})
+
+    return run
+
+
+def propagate_labels(seeds: DataFrame, target: DataFrame, grid: Grid, *, reach: int = REACH) -> DataFrame:
     """(flat, label, level): seeds (flat, label) spread through the target in breadth-first order.
 
-    Ties fall as in a queue: seeds in order of flat, then the neighbours of
-    earlier voxels first, in the order of SIX. Each level is one join with the
-    target and is written once; neighbours of a level lie in it, the one before
-    and the next, so only two levels need to be excluded. A level is a surface
-    in the grid; numbering its queue positions sorts that surface.
+    Ties fall as in a queue: seeds in order of flat (of repeated ones the least
+    label), then the neighbours of earlier voxels first, in the order of SIX. A
+    round spreads ``reach`` levels: a task works on a cube of that side and as
+    much around it, which is all that can reach the cube's voxels, so memory is
+    bounded by (3 reach) cubed cells. Only cubes near the last level take part.
+    A voxel's place in the queue is the place of its ancestor at the start of
+    the round, then the directions of its way; only the round's last level is
+    numbered anew, by range partition.
     """
-    spark, inside = target.sparkSession, target.select("flat")
+    spark = target.sparkSession
     path = new_path(spark, "waves")
-    schema = "flat long, i int, j int, k int, label int, rank long, level int"
-
-    def keep(wave: DataFrame, level: int) -> DataFrame:
-        wave.select("flat", "i", "j", "k", F.col("label").cast("int").alias("label"), F.col("rank").cast("long").alias("rank"), F.lit(level).alias("level")).write.parquet(f"{path}/{level}")
-        return spark.read.schema(schema).parquet(f"{path}/{level}")
-
-    first = seeds.where("label != 0").join(inside, "flat", "left_semi").withColumn("rank", F.row_number().over(W.orderBy("flat")))
-    before, wave = None, keep(with_ijk(first, grid), 0)
-    for level in range(1, grid.size + 1):
-        reached = scatter(wave, grid, SIX, ["label", "rank"]).join(inside, "flat", "left_semi").join(wave.select("flat"), "flat", "left_anti")
-        if before is not None:
-            reached = reached.join(before.select("flat"), "flat", "left_anti")
-        best = reached.groupBy("flat", "i", "j", "k").agg(F.min(F.struct("rank", "n", "label")).alias("b"))
-        ranked = best.select("flat", "i", "j", "k", "b.label", F.row_number().over(W.orderBy("b.rank", "b.n")).alias("rank"))
-        before, wave = wave, keep(ranked, level)
-        if wave.isEmpty():
+    schema = "flat long, label int, level int, rank long, way binary"
+    inside = target.select("flat").distinct()
+    known = seeds.where("label != 0").groupBy("flat").agg(F.min("label").cast("int").alias("label")).join(inside, "flat", "left_semi")
+    known.select("flat", "label", F.lit(0).alias("level"), F.col("flat").alias("rank"), F.lit(b"").alias("way")).write.parquet(f"{path}/0")
+    reached = spark.read.schema(schema).parquet(f"{path}/0")
+    wave, left, base = reached.select("flat", "label", "rank"), inside, 0
+    while not wave.isEmpty():
+        left = materialize(left.join(reached.select("flat"), "flat", "left_anti"), "unreached")
+        rows = wave.unionByName(left.select("flat", F.lit(0).alias("label"), F.lit(-1).cast("long").alias("rank")))
+        placed = blocks_around(with_ijk(rows, grid), grid, reach, reach)
+        live = placed.where("rank >= 0").select("block").distinct()
+        spread = placed.join(live, "block", "left_semi").groupBy("block").applyInPandas(_spread(grid.dims, reach, base), schema)
+        base += reach
+        spread.write.parquet(f"{path}/{base}")
+        reached = spark.read.schema(schema).parquet(f"{path}/{base}")
+        front = reached.where(F.col("level") == base)
+        if front.isEmpty():
             break
+        wave = materialize(ordered_ids(front.select("flat", "label", "rank", "way"), ["rank", "way"], "place").select("flat", "label", F.col("place").cast("long").alias("rank")), "wave")
     return spark.read.schema(schema).parquet(f"{path}/*").select("flat", "label", "level")

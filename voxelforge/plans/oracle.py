@@ -88,11 +88,14 @@ cc AS (SELECT node, dense_rank() OVER (ORDER BY root) AS label FROM walk)"""
 
 SIX_EDGES = "ed AS (SELECT m.flat AS u, n.flat AS v FROM mask m, o JOIN mask n ON n.i = m.i + a AND n.j = m.j + b AND n.k = m.k + c WHERE abs(a) + abs(b) + abs(c) = 1)"
 VOXEL_CC = f"WITH RECURSIVE {SPARSE}, {SEVEN}, {SIX_EDGES}, nodes AS (SELECT flat AS node FROM mask), {components('ed', 'nodes')}"
-SPREAD = f"""WITH RECURSIVE {MASK}, {SEVEN}, {SIX_EDGES}, walk(node, level) USING KEY (node) AS (
-  SELECT flat AS node, CAST(0 AS BIGINT) AS level FROM mask WHERE flat = (SELECT min(flat) FROM mask) OR flat = (SELECT max(flat) FROM mask)
+SIX_IN_ORDER = "six AS (SELECT * FROM (VALUES (0,-1,0,0), (1,1,0,0), (2,0,-1,0), (3,0,1,0), (4,0,0,-1), (5,0,0,1)) t(n, a, b, c)), es AS (SELECT m.flat AS u, x.n, v.flat AS v FROM mask m, six x JOIN mask v ON v.i = m.i + x.a AND v.j = m.j + x.b AND v.k = m.k + x.c)"
+SPREAD = f"""WITH RECURSIVE {MASK}, {SIX_IN_ORDER}, walk(node, level, label, place) USING KEY (node) AS (
+  SELECT flat AS node, CAST(0 AS BIGINT) AS level, CAST(CASE WHEN flat = (SELECT min(flat) FROM mask) THEN 1 ELSE 2 END AS BIGINT) AS label, CAST(flat AS BIGINT) AS place FROM mask WHERE flat = (SELECT min(flat) FROM mask) OR flat = (SELECT max(flat) FROM mask)
   UNION
-  SELECT e.v AS node, min(p.level) + 1 AS level FROM walk p JOIN ed e ON p.node = e.u LEFT JOIN recurring.walk w ON w.node = e.v WHERE w.node IS NULL GROUP BY e.v)
-SELECT node AS flat, CAST(level AS BIGINT) AS level FROM walk"""
+  SELECT node, level, label, row_number() OVER (ORDER BY place, n) AS place FROM (
+    SELECT e.v AS node, min(p.level) + 1 AS level, arg_min(p.label, p.place * 6 + e.n) AS label, min(p.place * 6 + e.n) // 6 AS place, min(p.place * 6 + e.n) % 6 AS n
+    FROM walk p JOIN es e ON p.node = e.u LEFT JOIN recurring.walk w ON w.node = e.v WHERE w.node IS NULL GROUP BY e.v))
+SELECT node AS flat, CAST(label AS BIGINT) AS label, CAST(level AS BIGINT) AS level FROM walk"""
 MESH = """vert AS (SELECT o_orderkey AS vid, (o_orderkey // 24) - 100.25e0 AS x, (o_orderkey % 24)::DOUBLE AS y, o_totalprice / 1e5 AS z FROM orders),
 cell AS (SELECT o_orderkey AS v FROM orders WHERE o_orderkey % 24 < 23 AND (o_orderkey // 24) % 40 <> 39 AND o_orderkey + 25 <= (SELECT max(o_orderkey) FROM orders)),
 tri AS (SELECT 2 * v AS tid, v AS a, v + 24 AS b, v + 1 AS c FROM cell UNION ALL SELECT 2 * v + 1, v + 1, v + 24, v + 25 FROM cell)"""

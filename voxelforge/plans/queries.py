@@ -306,7 +306,7 @@ def propagate_labels(spark, sf_dir):
     mask = V.price_mask(spark, sf_dir)
     ends = mask.agg(F.min("flat").alias("a"), F.max("flat").alias("b"))
     seeds = ends.select(F.explode(F.array(F.struct(F.col("a").alias("flat"), F.lit(1).alias("label")), F.struct(F.col("b").alias("flat"), F.lit(2).alias("label")))).alias("s")).select("s.flat", "s.label")
-    return G.propagate_labels(seeds, mask, V.grid(spark, sf_dir)).select("flat", F.col("level").cast("long").alias("level"))
+    return G.propagate_labels(seeds, mask, V.grid(spark, sf_dir)).select("flat", F.col("label").cast("long").alias("label"), F.col("level").cast("long").alias("level"))
 
 
 def _mesh(spark, sf_dir) -> Mesh:
