@@ -136,6 +136,26 @@ def test_range_join_and_nearest_match_brute_force(spark):
     assert S.median_neighbour_distance(index.fixels) == pytest.approx(first[60])
 
 
+@pytest.mark.parametrize(("power", "group"), [(4, 50_000), (3, 20), (2, 7)])
+def test_support_matches_brute_force(spark, power, group):
+    rng = np.random.default_rng(8)
+    pts, dirs, amps = rng.normal(size=(150, 3)) * 3, rng.normal(size=(150, 3)), rng.random(150).tolist()
+    pts[3:9] = pts[2]  # ties
+    amps[5] = float("nan")
+    index = X.from_handles(handles(spark, pts, dirs, amps), jitter=False).fixels
+    samples = index.select("fixel_id", *[F.col(f"p{c}").alias(f"q{c}") for c in "xyz"], *[F.col(f"d{c}").alias(f"u{c}") for c in "xyz"])
+    lost = samples.where("fixel_id = 0").select((F.col("fixel_id") - 1).alias("fixel_id"), F.lit(None).cast("double").alias("qx"), "qy", "qz", "ux", "uy", "uz")
+    parts = S.support_parts(samples.unionByName(lost), index, 2.5, power, ["fixel_id"], group=group, point_group=3 * group)
+    got = {r["fixel_id"]: r["s"] for r in parts.groupBy("fixel_id").agg(F.sum("support").alias("s")).collect()}
+    assert got.pop(-1) == 0
+    rows = index.orderBy("fixel_id").collect()
+    d = np.array([[r[f"d{c}"] for c in "xyz"] for r in rows])
+    a = np.nan_to_num(np.array([r["amplitude"] for r in rows]), nan=1.0)
+    near = ((pts[:, None] - pts[None]) ** 2).sum(-1) <= 2.5**2
+    want = (near * np.abs(d @ d.T) ** power * a).sum(1)
+    assert [got[i] for i in range(150)] == pytest.approx(want.tolist())
+
+
 def test_propagator_and_frames(spark):
     assert P.propagator(0, 0, 2.5) == [2.5, 0, 0, 1, 0, 0, 0, 0, 1]
     assert P.propagator(-5e-5, 0.1, 1) == P.propagator(1e-4, 0.1, 1)
@@ -273,6 +293,8 @@ def test_labels_spread_like_a_queue_in_a_random_mask(spark):
                 queue.append(known[n])
     df = spark.createDataFrame(list(seeds.items()), "flat long, label int")
     assert {r["flat"]: r["label"] for r in G.propagate_labels(df, mask, grid).collect()} == want
+    # a wave that crosses several blocks, and ties at their borders
+    assert {r["flat"]: r["label"] for r in G.propagate_labels(df, mask, grid, reach=2).collect()} == want
 
 
 def test_mesh_components_and_empty_vertices(spark):

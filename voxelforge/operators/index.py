@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import dot, fixel_jitter, normalize, vec
 from ..schema import POSITION_DIR_OFFSET
+from ..tables import materialize
 from .reduce import finite, first_peak, otsu_threshold, upper_median
 
 COLUMNS = ["fixel_id", "voxel_idx", "peak_no", "px", "py", "pz", "dx", "dy", "dz", "amplitude"]
@@ -74,10 +75,13 @@ def place(fixel: DataFrame, jitter: bool = True) -> DataFrame:
 
 
 def build(fixel: DataFrame, keep: Column | None = None, *, jitter: bool = True, nb_peaks: int | None = None, threshold: float | None = None) -> FixelIndex:
-    """All fixels for which ``keep`` (on fixel_id and amplitude) holds; the median is taken over these."""
+    """All fixels for which ``keep`` (on fixel_id and amplitude) holds; the median is taken over these.
+
+    The placed fixels are written once: the median and every query of the index read them.
+    """
     n = fixel.count() if nb_peaks is None else nb_peaks
     kept = fixel if keep is None else fixel.where(keep)
-    return FixelIndex(normalise_amplitudes(place(kept, jitter)), n, threshold)
+    return FixelIndex(normalise_amplitudes(materialize(place(kept, jitter), "fixels")), n, threshold)
 
 
 def build_threshold(fixel: DataFrame, threshold: float, **options) -> FixelIndex:
@@ -118,7 +122,7 @@ def from_handles(points: DataFrame, *, jitter: bool = True) -> FixelIndex:
         moved = [p + j for p, j in zip(moved, fixel_jitter(F.col("fixel_id")), strict=True)]
     amplitude = F.col("amplitude").cast("double") if "amplitude" in points.columns else F.lit(None).cast("double")
     rows = points.select("fixel_id", F.col("fixel_id").alias("voxel_idx"), F.lit(0).alias("peak_no"), *[m.alias(f"p{c}") for m, c in zip(moved, "xyz", strict=True)], *[u.alias(f"d{c}") for u, c in zip(unit, "xyz", strict=True)], amplitude.alias("amplitude"))
-    return FixelIndex(normalise_amplitudes(rows), points.count())
+    return FixelIndex(normalise_amplitudes(materialize(rows, "fixels")), points.count())
 
 
 def aligned(a: str, b: str) -> Column:
