@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import cross, normalize, vec
 from ..schema import CURVATURE_EPS, TransportParams
-from .spatial import data_support
+from ..tables import materialize
+from .spatial import support_parts
 
 FRAME = [f"{a}{c}" for a in ("q", "u", "v", "w") for c in "xyz"]
 COEFFICIENTS = [f"a{i}" for i in range(9)]
@@ -123,8 +124,8 @@ def arc_samples(start: DataFrame, params: TransportParams, key: str) -> DataFram
 def arc_likelihoods(start: DataFrame, params: TransportParams, support: Support, key: str) -> DataFrame:
     """(key, cand, likelihood) for every start frame and curvature pair.
 
-    ``support`` maps samples (keys, frame) to (keys, support); it is the place to
-    plug in other scores. The first sample is the same for all candidates of a
+    ``support`` maps samples (keys, frame) to (keys, support), one row or several
+    to be summed; it is the place to plug in other scores. The first sample is the same for all candidates of a
     frame and is scored once.
     """
     n = params.probe_count if params.probe_count > 1 and params.probe_radius_mm > 0 else 1
@@ -138,12 +139,12 @@ def arc_likelihoods(start: DataFrame, params: TransportParams, support: Support,
 
 
 def fixel_support(index: DataFrame, params: TransportParams) -> Support:
-    return lambda samples, keys: data_support(samples, index, params.support_radius_mm, params.angular_power, keys)
+    return lambda samples, keys: support_parts(samples, index, params.support_radius_mm, params.angular_power, keys)
 
 
 def best_arcs(seeds: DataFrame, index: DataFrame, params: TransportParams, support: Support | None = None) -> DataFrame:
     """(fixel_id, likelihood): the best of all curvature pairs for each seed fixel, at least 0 if there are several."""
-    arcs = arc_likelihoods(frames(seeds, ["fixel_id"]), params, support or fixel_support(index, params), "fixel_id")
+    arcs = arc_likelihoods(materialize(frames(seeds, ["fixel_id"]), "frames"), params, support or fixel_support(index, params), "fixel_id")
     best = F.max("likelihood")
     if max(params.n_k_samples, 1) > 1:
         best = F.greatest(F.lit(0.0), best)
