@@ -18,8 +18,8 @@ from voxelforge.operators import spatial as S
 from voxelforge.operators import surface as U
 from voxelforge.operators import trace as T
 from voxelforge.operators import transport as P
-from voxelforge.operators.components import numbered_components
-from voxelforge.schema import Dataset, Grid, Mesh, SurfaceParams, TraceParams, TransportParams, VoxelField
+from voxelforge.operators.components import connected_components, numbered_components
+from voxelforge.schema import Dataset, Grid, Mesh, ShrinkWrapParams, SurfaceParams, TraceParams, TransportParams, VoxelField
 from voxelforge.sources import dataset as D
 from voxelforge.sources import nifti
 
@@ -252,8 +252,11 @@ def test_components_of_random_graphs(spark):
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
     roots = sorted({root(i) for i in range(n)})
-    got = numbered_components(spark.range(n).select(F.col("id").alias("node")), spark.createDataFrame(edges, "u long, v long")).collect()
+    links = spark.createDataFrame(edges, "u long, v long")
+    got = numbered_components(spark.range(n).select(F.col("id").alias("node")), links).collect()
     assert {r["node"]: r["label"] for r in got} == {i: roots.index(root(i)) + 1 for i in range(n)}
+    stars, one = ({tuple(r) for r in connected_components(links, one_task=limit).collect()} for limit in (0, 1000))
+    assert stars == one == {(i, root(i)) for i in {x for e in edges for x in e if e[0] != e[1]}}
 
 
 def test_erosion_breaks_a_bridge(spark):
@@ -386,12 +389,39 @@ def test_shrink_wrap_moves_inward(spark):
     dims = (16, 16, 16)
     wm = phantom(spark, dims, ball((8, 8, 8), 5, dims))
     mesh = U.surface_from_field(wm, SurfaceParams(min_mask_voxels=10, min_mesh_vertices=0, mesh_smooth_iters=0, morph_cleanup=False, min_component_voxels=0))
-    from voxelforge.schema import ShrinkWrapParams
-
     out = U.shrink_wrap(mesh, VoxelField(wm.field, wm.grid, 0.5), ShrinkWrapParams(target_iso=0.9, n_iters=1, smooth_every=0))
     assert M.volume(out.vertex, out.triangle).first()[0] < M.volume(mesh.vertex, mesh.triangle).first()[0]
 
 
+def test_shrink_wrap_by_joins_equals_one_task(spark):
+    dims = (16, 16, 16)
+    wm = phantom(spark, dims, ball((8, 8, 8), 5, dims))
+    mesh = U.surface_from_field(wm, SurfaceParams(min_mask_voxels=10, min_mesh_vertices=0, mesh_smooth_iters=0, morph_cleanup=False, min_component_voxels=0))
+    params = ShrinkWrapParams(target_iso=0.9, n_iters=2, smooth_every=2)
+    place = lambda m: np.array([[r[c] for c in ("x", "y", "z")] for r in m.vertex.orderBy("vid").collect()])
+    assert np.allclose(place(U.shrink_wrap(mesh, wm, params)), place(U.shrink_wrap(mesh, wm, params, one_task_rows=0)))
+
+
+def test_components_that_span_blocks(spark):
+    rng, dims = random.Random(2), (9, 8, 7)
+    grid = Grid(dims)
+    cells = {c for c in itertools.product(*map(range, dims)) if rng.random() < 0.35}
+    flat = lambda c: (c[0] * dims[1] + c[1]) * dims[2] + c[2]
+    want, label = {}, 0
+    for c in sorted(cells, key=flat):
+        if c not in want:
+            label += 1
+            todo = [c]
+            while todo:
+                x = todo.pop()
+                if x in cells and x not in want:
+                    want[x] = label
+                    todo += [tuple(a + b for a, b in zip(x, s, strict=True)) for s in G.SIX]
+    for side in (2, 4, 64):
+        got = G.components(mask_of(spark, grid, sorted(cells)), grid, side=side).collect()
+        assert {r["flat"]: r["label"] for r in got} == {flat(c): n for c, n in want.items()}
+
+
 def small_dataset(spark):
     voxel = spark.createDataFrame([(0, 0, 0, 0), (1, 1, 1, 0), (2, 2, 0, 1)], "voxel_idx long, i int, j int, k int")
     fixel = spark.createDataFrame([(n, n // 2, n % 2, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, float(n)) for n in range(6)], "fixel_id long, voxel_idx long, peak_no int, px double, py double, pz double, dx double, dy double, dz double, amplitude double")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.vector import flat_index, in_grid, unflatten
 from ..schema import Grid
 from ..tables import materialize, new_path
-from .components import numbered_components, ordered_ids
+from .components import least_reachable, number_roots, ordered_ids
 
 # Fixed value: the order in which the six neighbours are visited
 SIX = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
@@ -89,17 +89,36 @@ def above(field: DataFrame, iso: float) -> DataFrame:
     return field.where(F.col("value") > F.lit(float(iso))).select("flat", "i", "j", "k")
 
 
-def components(mask: DataFrame, grid: Grid) -> DataFrame:
-    """(flat, label): 6-connected components numbered from 1 by their lowest flat index."""
-    nodes = mask.select(F.col("flat").alias("node"))
-    edges = _forward(mask, grid).join(mask.select(F.col("flat").alias("v")), "v")
-    return numbered_components(nodes, edges).select(F.col("node").alias("flat"), "label")
+def components(mask: DataFrame, grid: Grid, *, side: int = 2 * REACH) -> DataFrame:
+    """(flat, label): 6-connected components numbered from 1 by their lowest flat index.
 
+    Each cube of ``side`` cells is solved by a task; what is left to link are the
+    pieces that touch across the faces of cubes.
+    """
+    pieces = blocks_around(mask.select("flat", "i", "j", "k"), grid, side, 0).groupBy("block").applyInPandas(_pieces(side), "flat long, root long, faces int")
+    pieces = materialize(pieces, "pieces")
+    rim = with_ijk(pieces.where("faces > 0").select("flat", "root"), grid).withColumn("u", F.col("root"))
+    across = scatter(rim, grid, [(1, 0, 0), (0, 1, 0), (0, 0, 1)], ["u"]).select("u", "flat")
+    edges = across.join(pieces.where("faces > 0").select("flat", F.col("root").alias("v")), "flat").where("u != v").select("u", "v").distinct()
+    return number_roots(pieces.select(F.col("flat").alias("node"), "root"), edges).select(F.col("node").alias("flat"), "label")
+
+
+def _pieces(side: int):
+    """Components within a block: the least flat of each voxel's, and whether the voxel lies at a face of the block."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("flat").sort_values("flat", ignore_index=True)
+        at, (cells, *_), strides = _box(rows)
+        row_of = np.full(cells, -1, np.int64)
+        row_of[at] = np.arange(len(at))
+        mates = np.concatenate([row_of[at + t] for t in strides])
+        own = np.tile(np.arange(len(at)), 3)
+        root = least_reachable(own[mates >= 0], mates[mates >= 0], len(at))
+        flat = rows["flat"].to_numpy()
+        edge = np.any([(rows[c].to_numpy() % side == 0) | (rows[c].to_numpy() % side == side - 1) for c in "ijk"], 0)
+        return pd.DataFrame({"flat": flat, "root": flat[root], "faces": edge.astype(np.int32)})
 
-def _forward(mask: DataFrame, grid: Grid) -> DataFrame:
-    """(u, v) for each voxel and its next voxel along each axis."""
-    own = mask.withColumn("u", F.col("flat"))
-    return scatter(own, grid, [(1, 0, 0), (0, 1, 0), (0, 0, 1)], ["u"]).select("u", F.col("flat").alias("v"))
+    return run
 
 
 def component_sizes(labels: DataFrame, grid: Grid | None = None) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import logging
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -229,17 +232,31 @@ def _in_voxels(points: DataFrame, grid: Grid, keys: list[str]) -> DataFrame:
     return points.select(*keys, *[v.alias(f"v{c}") for v, c in zip(apply_affine(grid.inverse(), vec("")), "xyz", strict=True)])
 
 
-def shrink_wrap(mesh: Mesh, wm: VoxelField, params: ShrinkWrapParams = ShrinkWrapParams()) -> Mesh:
-    """Move vertices inward, up to half-way to where the field first reaches the target; those without a crossing hold."""
+#: Rows of vertices, triangles and field, and cells of the grid, that one task may hold to shrink-wrap a mesh by itself.
+ONE_TASK_ROWS, ONE_TASK_CELLS = 2_000_000, 16_000_000
+
+
+def shrink_wrap(mesh: Mesh, wm: VoxelField, params: ShrinkWrapParams = ShrinkWrapParams(), *, one_task_rows: int = ONE_TASK_ROWS) -> Mesh:
+    """Move vertices inward, up to half-way to where the field first reaches the target; those without a crossing hold.
+
+    A mesh and field of at most ``one_task_rows`` rows are one task, which does
+    all iterations; larger ones take joins, some of them for each iteration.
+    """
+    triangle = materialize(mesh.triangle.select("tid", "a", "b", "c"), "wrap-triangles")
+    vertex, field = materialize(mesh.vertex.select("vid", "x", "y", "z"), "wrap-vertices"), materialize(wm.field, "wrap-field")
+    rows = vertex.count() + triangle.count() + field.count()
+    wrapped = _wrap_in_one_task if rows <= one_task_rows and wm.grid.size <= ONE_TASK_CELLS else _wrap_by_joins
+    return Mesh(with_normals(materialize(wrapped(vertex, triangle, field, wm.grid, params), "wrapped"), triangle), triangle)
+
+
+def _wrap_by_joins(vertex: DataFrame, triangle: DataFrame, field: DataFrame, grid: Grid, params: ShrinkWrapParams) -> DataFrame:
     steps = math.ceil(params.max_search_mm / params.step_mm)
-    vertex, triangle = mesh.vertex.select("vid", "x", "y", "z"), mesh.triangle
-    field = materialize(wm.field, "wrap-field")
     for n in range(1, params.n_iters + 1):
         normals = materialize(vertex.join(vertex_normals(vertex, triangle), "vid"), "wrap-normals")
         free = normals.where(dot(vec("n"), vec("n")) >= 1e-6)
         rays = free.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("s"))
         rays = rays.select("vid", "s", *[(F.col(c) + F.col("s") * params.step_mm * F.col(f"n{c}")).alias(c) for c in "xyz"])
-        reached = sample_trilinear(_in_voxels(rays, wm.grid, ["vid", "s"]), field, wm.grid, ["vid", "s"]).where(F.col("q") >= params.target_iso)
+        reached = sample_trilinear(_in_voxels(rays, grid, ["vid", "s"]), field, grid, ["vid", "s"]).where(F.col("q") >= params.target_iso)
         first = reached.groupBy("vid").agg(F.min("s").alias("s")).where("s > 0")
         go = F.greatest(F.least(F.col("s") * params.step_mm * 0.5, F.lit(params.step_mm)), F.lit(params.step_mm * 0.25))
         moved = normals.join(first.select("vid", go.alias("go")), "vid", "left").withColumn("go", F.coalesce("go", F.lit(0.0)))
@@ -251,7 +268,75 @@ def shrink_wrap(mesh: Mesh, wm: VoxelField, params: ShrinkWrapParams = ShrinkWra
         log.info("shrink-wrap %d: %d vertices moved, at most %.3f mm", n, count, largest or 0.0)
         if (largest or 0.0) < params.convergence_eps_mm:
             break
-    return Mesh(with_normals(vertex, triangle), triangle)
+    return vertex
+
+
+def _wrap_in_one_task(vertex: DataFrame, triangle: DataFrame, field: DataFrame, grid: Grid, params: ShrinkWrapParams) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    rows = vertex.select(F.lit(0).alias("kind"), F.col("vid").alias("a"), zero.alias("b"), zero.alias("c"), "x", "y", "z")
+    rows = rows.unionByName(triangle.select(F.lit(1).alias("kind"), "a", "b", "c", *[F.lit(0.0).alias(c) for c in "xyz"]))
+    rows = rows.unionByName(field.select(F.lit(2).alias("kind"), F.col("flat").alias("a"), zero.alias("b"), zero.alias("c"), F.col("value").alias("x"), *[F.lit(0.0).alias(c) for c in "yz"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))  # one task has all rows, and a mesh has some
+        kind = table.column("kind").to_numpy()
+        number = np.stack([table.column(c).to_numpy() for c in "abc"], 1)
+        place = np.stack([table.column(c).to_numpy() for c in "xyz"], 1)
+        order = np.argsort(number[kind == 0, 0], kind="stable")
+        vid, at = number[kind == 0, 0][order], place[kind == 0][order]
+        volume = np.zeros(grid.size)
+        volume[number[kind == 2, 0]] = place[kind == 2, 0]
+        at = _wrap(at, np.searchsorted(vid, number[kind == 1]), volume.reshape(grid.dims), grid.inverse(), params)
+        yield pa.RecordBatch.from_arrays([pa.array(vid), *[pa.array(at[:, c]) for c in range(3)]], names=["vid", "x", "y", "z"])
+
+    return rows.coalesce(1).mapInArrow(run, "vid long, x double, y double, z double")
+
+
+def _wrap(at: np.ndarray, tri: np.ndarray, volume: np.ndarray, inverse: np.ndarray, params: ShrinkWrapParams) -> np.ndarray:
+    """All iterations on arrays: positions, corners as rows of them, the dense field."""
+    steps, step = math.ceil(params.max_search_mm / params.step_mm), params.step_mm
+    ring = np.unique(np.concatenate([tri[:, [p, q]] for p, q in ((0, 1), (1, 0), (1, 2), (2, 1), (2, 0), (0, 2))]), axis=0)
+    ring = ring[ring[:, 0] != ring[:, 1]]
+    mates = np.bincount(ring[:, 0], minlength=len(at))[:, None]
+
+    def gathered(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(rows, values[:, c], len(at)) for c in range(3)], 1)
+
+    def towards_ring(x: np.ndarray, factor: float) -> np.ndarray:
+        mean = gathered(ring[:, 0], x[ring[:, 1]]) / np.maximum(mates, 1)
+        return np.where(mates > 0, x + factor * (mean - x), x)
+
+    def sampled(x: np.ndarray) -> np.ndarray:
+        v = x @ inverse[:3, :3].T + inverse[:3, 3]
+        base = np.floor(v)
+        part, base = v - base, base.astype(np.int64)
+        total, weight = np.zeros(len(x)), np.zeros(len(x))
+        for corner in range(8):
+            shift = np.array(corner_offset(corner))
+            w, c = np.where(shift == 1, part, 1 - part).prod(1), base + shift
+            inside = ((c >= 0) & (c < volume.shape)).all(1)
+            c = np.where(inside[:, None], c, 0)
+            total += np.where(inside, w * volume[c[:, 0], c[:, 1], c[:, 2]], 0.0)
+            weight += np.where(inside, w, 0.0)
+        return np.where(weight > 1e-9, total / np.where(weight > 1e-9, weight, 1.0), 0.0)
+
+    for n in range(1, params.n_iters + 1):
+        a, b, c = (at[tri[:, k]] for k in range(3))
+        face = np.cross(b - a, c - a)
+        normal = sum(gathered(tri[:, k], face) for k in range(3))
+        length = np.sqrt(np.square(normal).sum(1, keepdims=True))
+        normal = np.where(length > 1e-9, normal / np.where(length > 1e-9, length, 1.0), normal)
+        open_, go = np.flatnonzero(np.square(normal).sum(1) >= 1e-6), np.zeros(len(at))
+        for s in range(steps + 1):
+            hit = sampled(at[open_] + s * step * normal[open_]) >= params.target_iso
+            go[open_[hit]] = max(min(s * step * 0.5, step), step * 0.25) if s else 0.0
+            open_ = open_[~hit]
+        at = at + go[:, None] * normal
+        if params.smooth_every and n % params.smooth_every == 0:
+            at = towards_ring(towards_ring(at, params.taubin_lambda), params.taubin_mu)
+        if go.max(initial=0.0) < params.convergence_eps_mm:
+            break
+    return at
 
 
 def vertex_sides(mesh: Mesh, wm: VoxelField, erode_iterations: int, midline_slab_mm: float = 0.0) -> DataFrame:
