@@ -63,7 +63,7 @@ QA = "qa AS (SELECT vox.voxel_idx, i, j, k, greatest(0e0, coalesce(max(amplitude
 FIRST = "fp AS (SELECT voxel_idx, min_by(amplitude, peak_no) AS first_amp FROM fx GROUP BY voxel_idx)"
 PRICE = f"{GRID}, {VOX}, f0 AS (SELECT (i::BIGINT * ny + j) * nz + k AS flat, i, j, k, o_totalprice / 1e5 AS value FROM vox, g WHERE o_totalprice <> 0)"
 MASK = f"{PRICE}, mask AS (SELECT flat, i, j, k FROM f0 WHERE value > 1.5e0)"
-SPARSE = f"{PRICE}, mask AS (SELECT flat, i, j, k FROM f0 WHERE value > 4e0)"
+SPARSE = f"{PRICE}, mask AS (SELECT flat, i, j, k FROM f0 WHERE value > 3e0)"
 CUBE = "o AS (SELECT a, b, c FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b), (SELECT unnest([-1, 0, 1]) AS c))"
 SEVEN = "o AS (SELECT * FROM (VALUES (0,0,0), (-1,0,0), (1,0,0), (0,-1,0), (0,1,0), (0,0,-1), (0,0,1)) t(a, b, c))"
 
@@ -86,9 +86,9 @@ def components(edges: str, nodes: str) -> str:
 cc AS (SELECT node, dense_rank() OVER (ORDER BY root) AS label FROM walk)"""
 
 
-SIX_EDGES = "ed AS (SELECT m.flat AS u, n.flat AS v FROM mask m, o JOIN mask n ON n.i = m.i + a AND n.j = m.j + b AND n.k = m.k + c WHERE abs(a) + abs(b) + abs(c) = 1)"
+SIX_EDGES = "ed AS MATERIALIZED (SELECT m.flat AS u, n.flat AS v FROM mask m, o JOIN mask n ON n.i = m.i + a AND n.j = m.j + b AND n.k = m.k + c WHERE abs(a) + abs(b) + abs(c) = 1)"
 VOXEL_CC = f"WITH RECURSIVE {SPARSE}, {SEVEN}, {SIX_EDGES}, nodes AS (SELECT flat AS node FROM mask), {components('ed', 'nodes')}"
-SIX_IN_ORDER = "six AS (SELECT * FROM (VALUES (0,-1,0,0), (1,1,0,0), (2,0,-1,0), (3,0,1,0), (4,0,0,-1), (5,0,0,1)) t(n, a, b, c)), es AS (SELECT m.flat AS u, x.n, v.flat AS v FROM mask m, six x JOIN mask v ON v.i = m.i + x.a AND v.j = m.j + x.b AND v.k = m.k + x.c)"
+SIX_IN_ORDER = "six AS (SELECT * FROM (VALUES (0,-1,0,0), (1,1,0,0), (2,0,-1,0), (3,0,1,0), (4,0,0,-1), (5,0,0,1)) t(n, a, b, c)), es AS MATERIALIZED (SELECT m.flat AS u, x.n, v.flat AS v FROM mask m, six x JOIN mask v ON v.i = m.i + x.a AND v.j = m.j + x.b AND v.k = m.k + x.c)"
 SPREAD = f"""WITH RECURSIVE {MASK}, {SIX_IN_ORDER}, walk(node, level, label, place) USING KEY (node) AS (
   SELECT flat AS node, CAST(0 AS BIGINT) AS level, CAST(CASE WHEN flat = (SELECT min(flat) FROM mask) THEN 1 ELSE 2 END AS BIGINT) AS label, CAST(flat AS BIGINT) AS place FROM mask WHERE flat = (SELECT min(flat) FROM mask) OR flat = (SELECT max(flat) FROM mask)
   UNION

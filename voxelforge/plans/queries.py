@@ -275,8 +275,8 @@ def negate_mask(spark, sf_dir):
 
 
 def _sparse(spark, sf_dir) -> DataFrame:
-    """A mask with many components: o_totalprice above 400000."""
-    return V.price_field(spark, sf_dir).where("value > 4.0").select("flat", "i", "j", "k")
+    """A mask with a component that spans the grid and many small ones: o_totalprice above 300000."""
+    return V.price_field(spark, sf_dir).where("value > 3.0").select("flat", "i", "j", "k")
 
 
 @query
@@ -405,7 +405,7 @@ def weld(spark, sf_dir):
 @query
 def shrink_wrap(spark, sf_dir):
     mesh, wm = _surface(spark, sf_dir)
-    return rounded(U.shrink_wrap(mesh, wm, ShrinkWrapParams(target_iso=5.0, n_iters=3, max_search_mm=3.0)).vertex)
+    return rounded(U.shrink_wrap(mesh, wm, ShrinkWrapParams(target_iso=5.0)).vertex)
 
 
 @query
