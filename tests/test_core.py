@@ -119,6 +119,9 @@ def test_filters_keep_or_drop_missing_amplitudes(spark):
     assert kept(X.build_qa_threshold(fixel, 2.0)) == [3, 4]
     assert kept(X.build_qa_threshold(fixel, 1.0)) == [2, 3, 4]
     assert X.build_qa_threshold(fixel, 1.0).nb_peaks == 5
+    bare = fixel.withColumn("amplitude", F.lit(None).cast("double"))
+    for index in (X.build_otsu(bare), X.build_qa_otsu(bare), X.build_qa_threshold(bare, 1.0)):
+        assert index.count() == index.nb_peaks == 5 and index.threshold is None
 
 
 def test_range_join_and_nearest_match_brute_force(spark):

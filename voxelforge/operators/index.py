@@ -90,9 +90,15 @@ def build_threshold(fixel: DataFrame, threshold: float, **options) -> FixelIndex
     return build(fixel, ~finite(a) | (a >= threshold), threshold=threshold, **options)
 
 
+def _no_amplitudes(fixel: DataFrame) -> bool:
+    return fixel.where("amplitude is not null").isEmpty()
+
+
 def build_otsu(fixel: DataFrame, scale: float = 1.0, **options) -> FixelIndex:
-    """Amplitude finite and at least ``scale`` times Otsu's threshold over all fixels."""
+    """Amplitude finite and at least ``scale`` times Otsu's threshold over all fixels; all fixels if none has an amplitude."""
     a = F.col("amplitude")
+    if _no_amplitudes(fixel):
+        return build(fixel, **options)
     t = scale * otsu_threshold(fixel, "amplitude")
     return build(fixel, finite(a) & (a >= t), threshold=t, **options)
 
@@ -104,13 +110,17 @@ def build_voxel_filtered(fixel: DataFrame, voxels: DataFrame, **options) -> Fixe
 
 
 def build_qa_threshold(fixel: DataFrame, threshold: float, **options) -> FixelIndex:
-    """Only voxels whose first peak has a finite amplitude of at least the threshold."""
+    """Only voxels whose first peak has a finite amplitude of at least the threshold; all fixels if none has an amplitude."""
     a = F.col("first_amp")
+    if _no_amplitudes(fixel):
+        return build(fixel, **options)
     return build_voxel_filtered(fixel, first_peak(fixel).where(finite(a) & (a >= threshold)), threshold=threshold, **options)
 
 
 def build_qa_otsu(fixel: DataFrame, scale: float = 1.0, **options) -> FixelIndex:
     """As build_qa_threshold with ``scale`` times Otsu's threshold over the first peaks."""
+    if _no_amplitudes(fixel):
+        return build(fixel, **options)
     return build_qa_threshold(fixel, scale * otsu_threshold(first_peak(fixel), "first_amp"), **options)
 
 
