@@ -50,7 +50,7 @@ class ItemBlock:
 
 def item_shingles(text: str | None, k: int = SHINGLE) -> tuple[int, frozenset[tuple[bytes, ...]]]:
     """Shingle length used (less than ``k`` for short items) and the distinct shingles."""
-    words = WORD.findall((text or "").lower().encode())
+    words = WORD.findall(lowered(pa.array([text], pa.string()))[0].as_py().encode())  # the rule that documents are lower-cased by
     k = min(k, len(words))
     return k, frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if k else frozenset()
 

@@ -20,6 +20,7 @@ payloads of at least ``min_revisit`` bytes the largest page_id is the response
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import io
 import re
@@ -142,11 +143,34 @@ def _parse(head: bytes) -> dict[str, str] | None:
     return out if out.get("content-length", "").isdigit() and "warc-type" in out else None
 
 
+def _digest(field: str) -> bytes | None:
+    """The SHA-1 that a digest field holds, in hex or base32 of either case; None for other algorithms and forms."""
+    algorithm, _, value = field.partition(":")
+    value = value.strip()
+    if algorithm.strip().lower() not in ("sha1", "sha-1"):
+        return None
+    if re.fullmatch("[0-9A-Fa-f]{40}", value):
+        return bytes.fromhex(value)
+    return base64.b32decode(value.upper()) if re.fullmatch("[A-Za-z2-7]{32}", value) else None
+
+
 def _checked(headers: dict[str, str], block: bytes) -> bool:
-    digest = headers.get("warc-payload-digest", "")
-    if headers["warc-type"] != "response" or not digest.startswith("sha1:"):
+    """The block agrees with its digests, as far as they can be checked.
+
+    A block digest decides. A payload digest is of the block, or of the body
+    where the block is an HTTP message; it says nothing of the block of a
+    revisit or segment, nor of a body that is sent in chunks.
+    """
+    whole = _digest(headers.get("warc-block-digest", ""))
+    if whole is not None:
+        return hashlib.sha1(block).digest() == whole
+    want = _digest(headers.get("warc-payload-digest", ""))
+    if want is None or headers["warc-type"] not in ("response", "resource") or "warc-segment-number" in headers:
         return True
-    return hashlib.sha1(block).hexdigest() == digest[5:]
+    if headers.get("content-type", "").lower().startswith("application/http"):
+        head, gap, body = block.partition(b"\r\n\r\n")
+        return not gap or b"\ntransfer-encoding:" in head.lower() or hashlib.sha1(body).digest() == want
+    return hashlib.sha1(block).digest() == want
 
 
 def _plain(win: _Window, at: int, limit: int) -> Record | None:
