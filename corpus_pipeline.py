@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voxelforge.llm._common import materialize
 from voxelforge.llm.decontaminate import decontaminate
-from voxelforge.llm.language_id import fit_language_model, held_out, identify, is_rejected
+from voxelforge.llm.language_id import fit_language_model, held_out, identify, is_rejected, rejection_bound
 from voxelforge.llm.line_dedup import dedup_lines
 from voxelforge.llm.mixing import mix, mixed_documents
 from voxelforge.llm.order_minhash import near_duplicates
@@ -23,7 +23,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or foreign to every learned language, go."""
     model = fit_language_model(docs.where(~held_out("doc_id")))
-    return identify(docs.select(*COLUMNS), model).where(~is_rejected("text")).select(*COLUMNS)
+    told = materialize(identify(docs.select(*COLUMNS), model), "languages")
+    return told.where(~is_rejected("text", rejection_bound(told))).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

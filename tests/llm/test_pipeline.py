@@ -39,6 +39,22 @@ def test_stages(spark, sf_dir, hard_rows):
     assert docs.where("taken > 2 * size or copies < 1 or copies > 2").isEmpty()
 
 
+def test_foreign_texts_go_and_mixed_ones_stay(spark, hard, hard_rows):
+    known = [r for r in hard_rows if r[1] and len(r[1]) > 200 and r[0] is not None and r[0] < 3000]
+    mixed = [(9000 + i, a[1][:150] + " " + b[1][:150], "en", "s") for i, (a, b) in enumerate(zip(known[::7], known[1::7], strict=False))]
+    foreign = [
+        "Suomen kieli on uralilaisten kielten itämerensuomalaiseen ryhmään kuuluva kieli, jota puhuvat pääosin suomalaiset.",
+        "Türkçe, çoğunlukla Türkiye ve Kıbrıs'ta konuşulan, Türk dilleri ailesine ait sondan eklemeli bir dil.",
+        "Język polski należy do grupy języków zachodniosłowiańskich wraz z czeskim i słowackim, kaszubskim.",
+        "Русский язык является одним из восточнославянских языков, национальный язык русского народа.",
+    ]
+    rows = [(*r[:4], None) for r in known + mixed] + [(9500 + i, t, None, "s", None) for i, t in enumerate(foreign)]
+    rows = [(*r[:4], None) for r in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in CP.language_stage(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows} - {9500 + i for i in range(len(foreign))}
+
+
 def test_run_and_empty_input(spark, sf_dir, hard, tmp_path):
     assert CP.run(spark, sf_dir).count() > 0
     path = f"file://{tmp_path}"

@@ -34,6 +34,8 @@ WINDOW = 256
 OTHER, SPACE, PAD, BORDER = range(4)
 #: Bits of a raw byte; a language that needs more explains nothing of a text.
 RAW_BITS = 8.0
+#: What a text may cost more than the labelled ones before it is foreign.
+MARGIN_BITS = 1.0
 #: Texts shorter than this are too short to be called foreign to all languages.
 MIN_REJECT_BYTES = 64
 
@@ -217,14 +219,23 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", k
     return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(keep)], F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__bits").alias("bits_per_byte"))
 
 
-def is_rejected(text_col: str = "text"):
-    """A document is rejected if it has no letter or if, at some length, every language costs more than raw bytes.
+def rejection_bound(told: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> float:
+    """Bits a byte above which a text is foreign to all languages: ``MARGIN_BITS`` more than all but one in 10,000 of the labelled texts cost that were identified rightly, ``RAW_BITS`` at most and without any.
 
-    The bound is far above what mixed languages, addresses, keys or symbols in a
-    text cost (about 6 bits a byte at most in the test tables); text in none of the
-    scripts learned costs more.
+    All identified rows (``identify``) with a label count, but for those too short to be rejected.
     """
-    return (F.col("lang_pred") == "und") | ((F.col("bits_per_byte") > RAW_BITS) & (F.octet_length(F.btrim(F.col(text_col), F.lit(SPACES))) >= MIN_REJECT_BYTES))
+    right = told.where((F.col("lang_pred") == F.col(lang_col)) & _long_enough(text_col))
+    usual = right.agg(F.percentile_approx("bits_per_byte", F.lit(0.9999), F.lit(100_000))).first()[0]
+    return RAW_BITS if usual is None else min(RAW_BITS, usual + MARGIN_BITS)
+
+
+def _long_enough(text_col: str):
+    return F.octet_length(F.btrim(F.col(text_col), F.lit(SPACES))) >= MIN_REJECT_BYTES
+
+
+def is_rejected(text_col: str = "text", bound: float = RAW_BITS):
+    """A document is rejected if it has no letter or if, at some length, every language costs more than ``bound`` bits a byte."""
+    return (F.col("lang_pred") == "und") | ((F.col("bits_per_byte") > bound) & _long_enough(text_col))
 
 
 def held_out(id_col: str):
