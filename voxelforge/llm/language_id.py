@@ -34,8 +34,8 @@ WINDOW = 256
 OTHER, SPACE, PAD, BORDER = range(4)
 #: Bits of a raw byte; a language that needs more explains nothing of a text.
 RAW_BITS = 8.0
-#: What a text may cost more than the labelled ones before it is foreign.
-MARGIN_BITS = 1.0
+#: What a text may cost more than the labelled ones before it is foreign: addresses, keys and numbers in a short text add about as much.
+MARGIN_BITS = 1.5
 #: Texts shorter than this are too short to be called foreign to all languages.
 MIN_REJECT_BYTES = 64
 
