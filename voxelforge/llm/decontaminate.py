@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +51,11 @@ class ItemBlock:
 
 def item_shingles(text: str | None, k: int = SHINGLE) -> tuple[int, frozenset[tuple[bytes, ...]]]:
     """Shingle length used (less than ``k`` for short items) and the distinct shingles."""
-    words = WORD.findall(lowered(pa.array([text], pa.string()))[0].as_py().encode())  # the rule that documents are lower-cased by
+    return _shingles(lowered(pa.array([text], pa.string()))[0].as_py().encode(), k)  # the rule that documents are lower-cased by
+
+
+def _shingles(text: bytes, k: int = SHINGLE) -> tuple[int, frozenset[tuple[bytes, ...]]]:
+    words = WORD.findall(text)
     k = min(k, len(words))
     return k, frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if k else frozenset()
 
@@ -68,28 +73,35 @@ def needed(n: int, threshold: float) -> int:
     return max(1, k)
 
 
-def _hash_of(shingle: tuple[bytes, ...]) -> int:
-    text = b" ".join(shingle)
-    words, _, _, woff = word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    return int(shingle_hashes(words, woff, len(shingle))[0][0])
-
-
 def build_block(items: list[tuple[int | None, str | None]], threshold: float) -> ItemBlock:
-    out, entries = ItemBlock(), defaultdict(list)
-    for item_id, text in items:
-        k, own = item_shingles(text)
-        if not own:
-            continue
-        at = len(out.ids)
-        out.ids.append(item_id)
-        out.shingles.append(own)
-        entries[k] += [(h, at) for h in sorted(map(_hash_of, own))[: sketch_length(len(own), threshold)]]
-    for k, pairs in entries.items():
-        pairs.sort()
-        hashes = np.array([h for h, _ in pairs], np.uint64)
+    """The block of some items; shingles are hashed for many items at once, as those of documents are."""
+    out = ItemBlock()
+    entries: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
+    table = pa.RecordBatch.from_arrays([pa.array([i for i, _ in items], pa.int64()), pa.array([t for _, t in items], pa.string())], names=["i", "t"])
+    for part in slices(table, "t"):
+        data, off = buffers(lowered(part.column("t")))
+        words, _, _, woff = word_hashes(data, off)
+        size = np.minimum(np.diff(woff), SHINGLE)
+        spans = {}
+        for k in np.unique(size[size > 0]).tolist():
+            h, at = shingle_hashes(words, woff, k)
+            spans[k] = h, np.searchsorted(at, woff)
+        for n, item_id in enumerate(part.column("i").to_pylist()):
+            k, own = _shingles(data[off[n] : off[n + 1]].tobytes())
+            if not own:
+                continue
+            h, ends = spans[k]
+            entries[k].append((np.unique(h[ends[n] : ends[n + 1]])[: sketch_length(len(own), threshold)], len(out.ids)))
+            out.ids.append(item_id)
+            out.shingles.append(own)
+    for k, sketches in entries.items():
+        hashes = np.concatenate([h for h, _ in sketches])
+        owners = np.repeat([a for _, a in sketches], [len(h) for h, _ in sketches])
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
         seen = np.zeros(1 << _BITS, bool)
         seen[(hashes & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
-        out.sketch[k] = hashes, np.array([a for _, a in pairs]), seen
+        out.sketch[k] = hashes, owners[order], seen
     return out
 
 
@@ -110,9 +122,18 @@ def _candidates(block: ItemBlock, words: np.ndarray, woff: np.ndarray) -> set[tu
 def contained_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, item, item_shingles, shared_shingles, containment) for each document and item contained in it."""
     bounded_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
     inner = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t"))
     id_type = inner.schema["__id"].dataType.simpleString()
+    out = None
+    for shared in _blocks(items, item_col, item_text_col, threshold, block_bytes):
+        part = inner.mapInArrow(_searcher(shared, threshold), f"__id {id_type}, item long, n long, shared long")
+        out = part if out is None else out.unionByName(part)
+    return out.select(F.col("__id").alias(id_col), F.col("item").alias(item_col), F.col("n").alias("item_shingles"), F.col("shared").alias("shared_shingles"), (F.col("shared") / F.col("n")).alias("containment"))
+
+
+def _blocks(items: DataFrame, item_col: str, item_text_col: str, threshold: float, block_bytes: int) -> list[Broadcast[ItemBlock]]:
+    """The items as broadcast blocks, one at least."""
+    sc = items.sparkSession.sparkContext
     asked = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t"))
     blocks, now, size = [], [], 0
     for r in asked.toLocalIterator():  # block by block, never more than one block of texts at a time
@@ -123,50 +144,67 @@ def contained_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id"
             now, size = [], 0
     if now or not blocks:
         blocks.append(sc.broadcast(build_block(now, threshold)))
-    out = None
-    for shared in blocks:
-        part = inner.mapInArrow(_searcher(shared, threshold), f"__id {id_type}, item long, n long, shared long")
-        out = part if out is None else out.unionByName(part)
-    return out.select(F.col("__id").alias(id_col), F.col("item").alias(item_col), F.col("n").alias("item_shingles"), F.col("shared").alias("shared_shingles"), (F.col("shared") / F.col("n")).alias("containment"))
-
-
-def _searcher(shared, threshold: float):
+    return blocks
+
+
+def _contained(texts: pa.Array, block: ItemBlock, threshold: float) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, its shingles, those shared), texts and items by their place."""
+    data, off = buffers(lowered(texts))
+    words, _, _, woff = word_hashes(data, off)
+    by_text = defaultdict(list)
+    for t, i in _candidates(block, words, woff):
+        by_text[t].append(i)
+    for t, cands in sorted(by_text.items()):
+        own = WORD.findall(data[off[t] : off[t + 1]].tobytes())
+        sets: dict[int, set] = {}
+        for i in sorted(cands):
+            want = block.shingles[i]
+            k = len(next(iter(want)))
+            if k not in sets:
+                sets[k] = set(zip(*[own[j:] for j in range(k)], strict=False))
+            both = len(want & sets[k])
+            if both >= needed(len(want), threshold):
+                yield t, i, len(want), both
+
+
+def _searcher(shared: Broadcast[ItemBlock], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch in batches:
             for part in slices(batch, "__t"):
-                data, off = buffers(lowered(part.column("__t")))
-                words, start, end, woff = word_hashes(data, off)
-                by_text = defaultdict(list)
-                for t, i in _candidates(block, words, woff):
-                    by_text[t].append(i)
-                rows, ids, sizes, counts = [], [], [], []
-                for t, cands in sorted(by_text.items()):
-                    own = WORD.findall(data[off[t] : off[t + 1]].tobytes())
-                    sets: dict[int, set] = {}
-                    for i in sorted(cands):
-                        want = block.shingles[i]
-                        k = len(next(iter(want)))
-                        if k not in sets:
-                            sets[k] = set(zip(*[own[j:] for j in range(k)], strict=False))
-                        both = len(want & sets[k])
-                        if both >= needed(len(want), threshold):
-                            rows.append(t)
-                            ids.append(block.ids[i])
-                            sizes.append(len(want))
-                            counts.append(both)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([part.column("__id").take(pa.array(rows, pa.int64())), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=["__id", "item", "n", "shared"])
+                found = list(_contained(part.column("__t"), block, threshold))
+                if found:
+                    rows, at, sizes, counts = (pa.array(c, pa.int64()) for c in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([part.column("__id").take(rows), pa.array(block.ids, pa.int64()).take(at), sizes, counts], names=["__id", "item", "n", "shared"])
+
+    return run
+
+
+def _sieve(shared: Broadcast[ItemBlock], threshold: float, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                clean = np.ones(part.num_rows, bool)
+                clean[[t for t, *_ in _contained(part.column(text), shared.value, threshold)]] = False
+                yield part.filter(pa.array(clean))
 
     return run
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that contain no item. Rows are told apart by id and text, so equal ids do no harm; null ids neither."""
-    key = F.struct(F.col(id_col), F.xxhash64(F.col(text_col)))
-    hits = contained_items(docs.withColumn("__key", key), items, id_col="__key", text_col=text_col, **options)
-    bad = hits.select(F.col("__key").getField(id_col).alias("__i"), F.col("__key").getItem("col2").alias("__h")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64(F.col(text_col)) == F.col("__h")), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that contain no item, with all their columns.
+
+    Rows are judged as they pass, block of items by block, so nothing is
+    shuffled and no id is needed. ``text_col`` must be a string.
+    """
+    bounded_batches(docs.sparkSession)
+    names = docs.columns
+    text = f"__c{[c.lower() for c in names].index(text_col.lower())}"
+    rest = docs.toDF(*[f"__c{n}" for n in range(len(names))])
+    schema = rest.schema
+    for shared in _blocks(items, item_col, item_text_col, threshold, block_bytes):
+        rest = rest.mapInArrow(_sieve(shared, threshold, text), schema)
+    return rest.toDF(*names)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
