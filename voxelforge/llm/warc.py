@@ -10,7 +10,8 @@ The reader streams an archive with bounded memory. Each record is checked: the
 gzip member's CRC and length, the version line, the headers, the block length
 and its digest. After a failed check it looks for the next place at which a
 member or a version line begins that passes the checks, goes on there, and logs
-the bytes between as a quarantined gap.
+the bytes between as a quarantined gap. Gaps are rows of the result, and lines
+of a log beside the archive (``read_gaps``) that outlives the query.
 
 Null html is an empty payload; null ids and urls are written as absent fields
 and read back as null. Pages with equal rows each get a record. Of equal
@@ -23,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import json
 import re
 import uuid
 import zlib
@@ -50,6 +52,8 @@ ARCHIVE_BYTES = 32 << 20
 CHUNK = 1 << 20
 #: A header block longer than this and than the largest block is taken for damage.
 MAX_HEADER = 1 << 16
+#: Suffix of the log of an archive's gaps.
+GAP_LOG = ".gaps.jsonl"
 ID_PREFIX = "urn:page:"
 
 
@@ -102,6 +106,7 @@ class _Window:
 
     def __init__(self, stream):
         self.stream, self.data, self.base, self.over = stream, bytearray(), 0, False
+        self.origin = stream.tell() if getattr(stream, "seekable", bool)() else None
 
     def need(self, end: int) -> bool:
         """Read on until the byte before ``end`` is there; False if the stream ends before."""
@@ -120,6 +125,15 @@ class _Window:
         self.need(end)
         return bytes(self.data[start - self.base : max(0, end - self.base)])
 
+    def ahead(self, start: int, end: int) -> bytes:
+        """Bytes that may lie far ahead, without what is before them if the stream can seek."""
+        if self.origin is None or end <= self.end or self.over:
+            return self.at(start, end)
+        self.stream.seek(self.origin + start)
+        out = self.stream.read(end - start)
+        self.stream.seek(self.origin + self.end)
+        return bytes(out)
+
     @property
     def end(self) -> int:
         return self.base + len(self.data)
@@ -186,10 +200,11 @@ def _plain(win: _Window, at: int, limit: int) -> Record | None:
     if headers is None:
         return None
     begin, n = at + cut + 4, int(headers["content-length"])
-    if n > limit or not win.need(begin + n + 4):
+    # a damaged length is found out at the record's end, before its block is read
+    if n > limit or win.ahead(begin + n, begin + n + 4) != b"\r\n\r\n" or not win.need(begin + n + 4):
         return None
     rest = win.at(begin, begin + n + 4)
-    if rest[n:] != b"\r\n\r\n" or not _checked(headers, rest[:n]):
+    if not _checked(headers, rest[:n]):
         return None
     return Record(at, begin + n + 4, headers, rest[:n])
 
@@ -215,7 +230,8 @@ def _member(win: _Window, at: int, limit: int) -> Record | None:
 def salvage(stream, *, max_block: int = 1 << 30) -> Iterator[Record | tuple[int, int]]:
     """Records of a WARC stream (members or plain, or a mixture) and gaps (start, end) in order.
 
-    Memory is bounded by the largest record and a few chunks.
+    Memory is bounded by the largest record and a few chunks, whatever lengths
+    damaged records claim (for streams that can't seek, by ``max_block`` too).
     """
     win, at, gap = _Window(stream), 0, None
     while win.need(at + 1):
@@ -312,7 +328,8 @@ def read_warc(manifest: DataFrame, uri: str) -> DataFrame:
     """Records of the archives of a manifest, and a row with ``is_gap`` for each quarantined byte range.
 
     An archive is read by one task, as a stream. The payload's length and digest
-    of a response are measured; a revisit has them from its headers.
+    of a response are measured; a revisit has them from its headers. The gaps of
+    an archive are also logged in a file beside it, the same by every attempt.
     """
     n = max(1, manifest.sparkSession.sparkContext.defaultParallelism * 4)
     names = manifest.select("path").repartition(n, "path")
@@ -321,19 +338,29 @@ def read_warc(manifest: DataFrame, uri: str) -> DataFrame:
         fs, root = _open(uri)
         for batch in batches:
             for name in batch.column("path").to_pylist():
-                rows, size = [], 0
-                with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
+                rows, size, gaps = [], 0, []
+                with fs.open_input_file(f"{root}/{name}") as stream:
                     for r in salvage(stream):
                         rows.append(_row(r, name))
+                        if not isinstance(r, Record):
+                            gaps.append(json.dumps({"path": name, "start": r[0], "end": r[1]}) + "\n")
                         size += len(r.block) if isinstance(r, Record) else 0
                         if size > 8 * CHUNK:
                             yield _batch(rows)
                             rows, size = [], 0
+                if gaps:
+                    with fs.open_output_stream(f"{root}/{name}{GAP_LOG}", compression=None) as log:
+                        log.write("".join(gaps).encode())
                 yield _batch(rows)
 
     return names.mapInArrow(run, RECORDS)
 
 
+def read_gaps(spark: SparkSession, uri: str) -> DataFrame:
+    """(path, start, end): the quarantined byte ranges that reading the archives below ``uri`` has logged."""
+    return spark.read.schema("path string, start long, end long").option("pathGlobFilter", f"*{GAP_LOG}").json(uri)
+
+
 def _row(r: Record | tuple[int, int], name: str) -> tuple:
     if not isinstance(r, Record):
         return (None, None, None, None, None, None, None, name, r[0], r[1], True)
