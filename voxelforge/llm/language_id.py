@@ -110,8 +110,10 @@ def _normalised(arr: pa.Array, classes: np.ndarray) -> tuple[np.ndarray, np.ndar
 def fit_language_model(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_bytes: int = 20_000, docs_per_lang: int = 48) -> LanguageModel:
     """Learn from at most ``docs_per_lang`` texts and ``sample_bytes`` bytes a language (the documented bound).
 
-    The texts are those whose key hashes lowest, at most a sixteenth of the
-    bytes from each. Only counts by language and the sample reach the driver.
+    The texts are those whose key hashes lowest; equal rows count once. Of each
+    at most a sixteenth of the characters goes in, a piece from a place that its
+    hash draws from the whole text. Only counts by language and the sample reach
+    the driver.
     """
     rows = labelled.select(F.col(key_col).alias("__k"), F.col(lang_col).alias("__l"), F.col(text_col).alias("__t")).where("__l is not null and __k is not null")
     rate = 2.0**31
@@ -124,7 +126,9 @@ def fit_language_model(labelled: DataFrame, *, text_col: str = "text", lang_col:
         bound = F.broadcast(spark.createDataFrame(limits, "__l2 string, __m double"))  # a row for each language
         sample = rows.where("__t is not null").withColumn("__h", h).join(bound, F.col("__l") == F.col("__l2")).where("__h < __m")
         per = sample_bytes // 16
-        for r in sample.select("__l", "__h", F.substring("__t", 1, per).alias("__t")).collect():
+        length = F.length("__t")
+        start = F.pmod(F.xxhash64("__k", "__t"), F.greatest(length - per + 1, F.lit(1)).cast("long")) + 1
+        for r in sample.select("__l", "__h", F.substring("__t", start.cast("int"), F.lit(per)).alias("__t")).distinct().collect():
             texts[r["__l"]].append((r["__h"], r["__t"]))
     langs = sorted(k for k, rows in texts.items() if any(c.isalpha() for _, t in rows for c in t))
     ascii_space = np.full(256, SPACE, np.uint8)
@@ -200,11 +204,11 @@ def predict(arr: pa.Array, model: LanguageModel) -> tuple[list[str], np.ndarray,
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (all by default, none of them read) plus lang_pred, score and bits_per_byte, one row in, one out."""
+    """``keep`` columns (all by default but for those of the result's names; none of them read) plus lang_pred, score and bits_per_byte, one row in, one out."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")] if keep is None else keep
     inner = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("__t"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1]), "`__lang` string", "`__score` double", "`__bits` double"])
 

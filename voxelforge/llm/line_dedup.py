@@ -160,8 +160,8 @@ def _lost(own: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, keep: list[str] | None = None) -> DataFrame:
-    """All rows with ``keep`` columns, then kept_text, n_lines and n_dropped."""
-    keep = docs.columns if keep is None else keep
+    """All rows with ``keep`` columns (all by default but for those of the result's names), then kept_text, n_lines and n_dropped."""
+    keep = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")] if keep is None else keep
     drops = repeated_lines(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, batches=batches, fanout=fanout)
     drops = materialize(drops.select("doc", F.col("drop.h1").alias("d1"), F.col("drop.h2").alias("d2")), "line-drops")
     inner = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("__t"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"))

@@ -148,11 +148,12 @@ def mixed_documents(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id"
     """The rows of ``docs`` that the mix takes, with its columns; ``mixed`` must carry the text's xxhash64 as ``text_hash``.
 
     Rows that are equal in id and text share the larger of their numbers of copies.
+    Columns of ``docs`` that the mix has too are the mix's.
     """
     cols = [c for c in mixed.columns if c not in (id_col, "text_hash")]
     chosen = mixed.where("copies > 0").groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__h")).agg(*[F.max(c).alias(f"__m_{c}") for c in cols])
     out = docs.withColumn("__t", F.xxhash64(F.col(text_col))).join(chosen, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__h")))
-    return out.select(*docs.columns, *[F.col(f"__m_{c}").alias(c) for c in cols])
+    return out.select(*[c for c in docs.columns if c not in cols], *[F.col(f"__m_{c}").alias(c) for c in cols])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
