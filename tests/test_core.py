@@ -1,9 +1,11 @@
 """Core operators against known values and brute force."""
 
+import gzip
 import itertools
 import math
 import random
 import struct
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -22,6 +24,7 @@ from voxelforge.operators.components import connected_components, numbered_compo
 from voxelforge.schema import Dataset, Grid, Mesh, ShrinkWrapParams, SurfaceParams, TraceParams, TransportParams, VoxelField
 from voxelforge.sources import dataset as D
 from voxelforge.sources import nifti
+from voxelforge.tables import shared_dir
 
 
 def handles(spark, positions, directions, amplitudes=None):
@@ -479,6 +482,31 @@ def test_nifti(spark, tmp_path, name):
         nifti.write_u16(values.limit(1), ds.voxel, ds.grid, path)
 
 
+@pytest.mark.parametrize("name", ["v.nii", "v.nii.gz"])
+def test_nifti_of_several_slabs(spark, tmp_path, name):
+    nx, ny, nz = 1500, 1000, 3
+    grid = Grid((nx, ny, nz), tuple(tuple(float(i == j) for j in range(4)) for i in range(4)))
+    at = [(0, 0, 0), (5, 7, 0), (75, 699, 0), (76, 699, 0), (1499, 999, 2)]  # the last place of the first slab and the first of the second
+    voxel = spark.createDataFrame([(n, *p) for n, p in enumerate(at)], "voxel_idx long, i int, j int, k int")
+    values = spark.createDataFrame([(n, n + 1) for n in range(len(at))], "voxel_idx long, value int")
+    path = f"file://{tmp_path}/new/{name}"
+    nifti.write_u16(values, voxel, grid, path)
+    back, again = nifti.read_u16(spark, path)
+    assert sorted(tuple(r) for r in back.collect()) == sorted((*p, n + 1) for n, p in enumerate(at)) and again.dims == grid.dims
+    data = (tmp_path / "new" / name).read_bytes()
+    assert len(gzip.decompress(data) if name.endswith("gz") else data) == 352 + 2 * nx * ny * nz
+    nifti.write_u16(values.limit(0), voxel.limit(0), grid, path)
+    assert nifti.read_u16(spark, path)[0].isEmpty()
+    with pytest.raises(Exception, match="out of range"):
+        nifti.write_u16(values.withColumn("value", F.col("value") + 65535), voxel, grid, path)
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    conf = SimpleNamespace(get=lambda key, default: default)
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local-cluster[2,1,512]")))
+
+
 def test_dpv_field_needs_every_voxel(spark):
     ds = small_dataset(spark)
     ds.dpv["x"] = spark.createDataFrame([(0, 1.0)], "voxel_idx long, value double")

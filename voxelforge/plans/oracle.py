@@ -182,6 +182,19 @@ ok AS (SELECT sid FROM sg GROUP BY sid HAVING coalesce(sum(d), 0) >= 5)
 SELECT sid, CAST(idx AS BIGINT) AS idx, {r('x y z')} FROM pts WHERE sid IN (SELECT sid FROM ok)"""
 
 
+TRACE_ALL = f"""WITH RECURSIVE {SYNX}, mem AS MATERIALIZED (SELECT fixel_id, px, py, pz, dx, dy, dz FROM sx),
+st AS (
+  SELECT fixel_id AS sid, s AS sign, 0 AS n, px AS qx, py AS qy, pz AS qz, s * dx AS ux, s * dy AS uy, s * dz AS uz FROM mem, (SELECT unnest([1, -1]) AS s)
+  UNION ALL
+  SELECT sid, sign, n + 1, qx, qy, qz, CASE WHEN co >= 0 THEN dx ELSE -dx END, CASE WHEN co >= 0 THEN dy ELSE -dy END, CASE WHEN co >= 0 THEN dz ELSE -dz END
+  FROM (SELECT sid, sign, n, a.qx, a.qy, a.qz, ux * dx + uy * dy + uz * dz AS co, fixel_id, dx, dy, dz
+        FROM (SELECT sid, sign, n, qx + 1.7e0 * ux AS qx, qy + 1.7e0 * uy AS qy, qz + 1.7e0 * uz AS qz, ux, uy, uz FROM st WHERE n < 148) a
+        JOIN mem ON (a.qx-px)*(a.qx-px)+(a.qy-py)*(a.qy-py)+(a.qz-pz)*(a.qz-pz) <= 4.25e0 * 4.25e0 WHERE abs(ux * dx + uy * dy + uz * dz) > cos(radians(30)))
+  QUALIFY row_number() OVER (PARTITION BY sid, sign ORDER BY abs(co) DESC, fixel_id) = 1),
+pts AS MATERIALIZED (SELECT sid, sign * n AS idx, qx AS x, qy AS y, qz AS z FROM st WHERE n > 0 OR sign = 1),
+sg AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS d FROM pts WINDOW w AS (PARTITION BY sid ORDER BY idx)),
+ok AS (SELECT sid FROM sg GROUP BY sid HAVING coalesce(sum(d), 0) >= 5)
+SELECT sid, CAST(idx AS BIGINT) AS idx, {r('x y z')} FROM pts WHERE sid IN (SELECT sid FROM ok)"""
 SUPPORT = f"""WITH {built('true')}, smp AS (SELECT fixel_id AS fid, px AS qx, py AS qy, pz AS qz, dx AS ux, dy AS uy, dz AS uz FROM idx),
 {near('smp', 'idx', '2.5e0', 'fid, pow(abs(ux * dx + uy * dy + uz * dz), 4) * amplitude AS w')}
 SELECT fid AS fixel_id, round(sum(w), 6) + 0e0 AS support FROM nr GROUP BY fid"""
@@ -251,6 +264,7 @@ ORACLE_SQL: dict[str, str] = {
     "capture_visited": VISITED,
     "polyline_length": "WITH p AS (SELECT o_custkey AS sid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, 1.7e0 * (o_orderkey // 600) AS x, 1.7e0 * ((o_orderkey // 24) % 25) AS y, 1.7e0 * (o_orderkey % 24) AS z FROM orders), d AS (SELECT sid, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS d FROM p WINDOW w AS (PARTITION BY sid ORDER BY n)) SELECT sid, round(coalesce(sum(d), 0e0), 6) + 0e0 AS length FROM d GROUP BY sid",
     "trace_streamlines": trace(5),
+    "trace_all_bundles": TRACE_ALL,
     "mean_filter_1": f"WITH {PRICE}, {CUBE}, {smooth('f0', 'f1')} SELECT flat, {r('value', 9)} FROM f1",
     "mean_filter_3": f"WITH {PRICE}, {CUBE}, {smooth('f0', 'f1')}, {smooth('f1', 'f2')}, {smooth('f2', 'f3')} SELECT flat, {r('value', 9)} FROM f3",
     "erode_1": f"WITH {MASK}, {SEVEN}, {spread('mask', 'sp')} SELECT flat FROM sp GROUP BY flat HAVING count(*) = 7",

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -242,6 +240,14 @@ def trace_streamlines(spark, sf_dir):
     return rounded(T.trace_within(fixels, members, seeds, TRACE).withColumn("idx", F.col("idx").cast("long")))
 
 
+@query
+def trace_all_bundles(spark, sf_dir):
+    """From every fixel through all fixels, with the tracer's defaults."""
+    fixels = _synthetic(spark, sf_dir).fixels
+    seeds = fixels.select(F.col("fixel_id").alias("sid"), "fixel_id")
+    return rounded(T.trace_within(fixels, fixels.select("fixel_id"), seeds).withColumn("idx", F.col("idx").cast("long")))
+
+
 def _mean(n: int):
     def run(spark, sf_dir):
         return rounded(G.mean_filter(V.price_field(spark, sf_dir), V.grid(spark, sf_dir), n).select("flat", "value"), 9)
@@ -454,12 +460,11 @@ def streamlines_roundtrip(spark, sf_dir):
 
 @query
 def nifti_roundtrip(spark, sf_dir):
-    """A volume of 1 + customer modulo 1000, written to a local file and read back on the driver."""
+    """A volume of 1 + customer modulo 1000, written to a file in the shared folder and read back."""
     values = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("voxel_idx"), (F.col("o_custkey") % 1000 + 1).alias("value"))
-    with tempfile.TemporaryDirectory() as tmp:
-        path = os.path.join(tmp, "volume.nii.gz")
-        nifti.write_u16(values, V.voxel(spark, sf_dir), V.grid(spark, sf_dir), path)
-        return nifti.read_u16(spark, path)[0].select("i", "j", "k", F.col("value").cast("long").alias("value"))
+    path = new_path(spark, "volume") + ".nii.gz"
+    nifti.write_u16(values, V.voxel(spark, sf_dir), V.grid(spark, sf_dir), path)
+    return nifti.read_u16(spark, path)[0].select("i", "j", "k", F.col("value").cast("long").alias("value"))
 
 
 @query

@@ -13,11 +13,14 @@ _fallback: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a temporary folder is made.
+    Only where that is unset and all tasks run in the driver (local tests) a
+    temporary folder is made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="voxelforge-"))
     return _fallback[0]
