@@ -494,16 +494,6 @@ def near_classes(spark, texts):
     return [r["class_id"] for r in OM.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc").collect()]
 
 
-def test_texts_that_share_their_first_hash_stay_apart(spark, monkeypatch):
-    named = OM._named
-    monkeypatch.setattr(OM, "_named", lambda *a: named(*a).withColumn("node", F.pmod("node", F.lit(2))))
-    rng = random.Random(8)
-    texts = [" ".join(rng.choices("abcdefghijklmnop", k=40)) for _ in range(12)]
-    rows = [(n, texts[n % 12]) for n in range(36)]
-    out = OM.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc"]: r["class_id"] for r in out} == {n: n % 12 for n in range(36)}
-
-
 def test_similar_texts_meet_in_a_crowded_bucket(spark):
     rng = random.Random(3)
     passage = [f"p{i}" for i in range(70)]
