@@ -509,6 +509,47 @@ def test_similar_texts_meet_in_a_crowded_bucket(spark):
     assert near_classes(spark, texts) == classes_by_brute_force(texts)
 
 
+def test_no_lead_hides_similar_texts(spark):
+    rng = random.Random(5)
+    texts, passage = [], [f"p{i}" for i in range(70)]
+    for g in range(300):  # a passage in common with all; few are similar, and they share little else
+        own = [f"o{g}z{i}" for i in range(30)]
+        texts.append(" ".join(passage + own))
+        if g % 30 == 0:
+            for i in rng.sample(range(30), 19):
+                own[i] = f"x{g}z{i}"
+            texts.append(" ".join(passage + own))
+    rng.shuffle(texts)
+    want = classes_by_brute_force(texts)
+    assert near_classes(spark, texts) == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cut = OM.near_duplicates(docs, part=16).orderBy("doc").collect()  # buckets in parts
+    assert [r["class_id"] for r in cut] == want
+
+
+def test_folded_bags_bound_from_below():
+    few, many = np.zeros(256, np.uint8), np.zeros(1024, np.uint8)
+    few[3], many[3], many[259] = 255, 255, 255  # 510 words in one bin, or 255 in each of two that fold to it
+    assert OM.bag_gaps([few.tobytes()], [many.tobytes()]).tolist() == [0]
+
+
+def test_open_pairs_come_in_rounds():
+    n, rng = 40, np.random.default_rng(6)
+    node, label, own = rng.permutation(n) - 7, np.arange(n) % 5, np.arange(n) % 2
+    length, bags = np.full(n, 20), np.zeros((n, OM.BINS), np.uint8)
+    length[:9] = 30
+    for within in (True, False):
+        met, after, rounds = [], None, 0
+        while True:
+            big, small, after = OM.open_pairs(node, label, length, own, bags, [b"\0" * 256] * n, within, after, 50, 0.8)
+            met += list(zip(big.tolist(), small.tolist(), strict=True))
+            rounds += 1
+            if after is None:
+                break
+        want = {(max(node[i], node[j]), min(node[i], node[j])) for i in range(n) for j in range(i) if label[i] != label[j] and length[i] == length[j] and (within or own[i] != own[j])}
+        assert len(met) == len(set(met)) and set(met) == want and rounds > 2
+
+
 def test_scattered_changes_at_the_threshold(spark):
     rng = random.Random(4)
     texts = []

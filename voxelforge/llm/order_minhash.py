@@ -15,15 +15,14 @@ in common bound the distance from below.
 
 Groups of any size are handled without emitting all pairs: identical texts are
 one node; within a bucket (the nodes that agree in an entry) every node is
-compared with one node, its lead. At first that is the least node, so that a
-cluster has the same lead in all its buckets. Buckets whose nodes the links so
-far leave in different components then take ``LEADS`` leads by hashes, once;
-after that they are cut finer, by each of the next ``FINER`` entries of a node,
-and every cut takes leads anew for as long as its leads find links. All rounds
-are linear in the rows of buckets. Two similar texts are missed
-if they agree in no entry, or if one of many nodes alike in several entries but
-not similar (a long passage in common) leads all their buckets. Links go to
-connected components; a class is named by its least id.
+compared with the least one, so that a cluster has the same lead in all its
+buckets. Buckets whose nodes the links so far leave in different components are
+then searched whole: tasks look at all pairs of such a bucket and let out those
+of different components that lengths and bags of words allow to be similar, at
+first the ``OPEN`` for each node of least hash, and the rest, four times as many
+a round, as far as the links found meanwhile leave them in different components.
+So no two similar texts that agree in an entry end in different classes. Links
+go to connected components; a class is named by its least id.
 
 Null texts count as empty; all texts without words are verified as equal only if
 they are identical. Texts with fewer than two words have one k-mer of all their
@@ -51,10 +50,12 @@ SHORT, SHORT_SKETCH = 16, 24
 THRESHOLD = 0.8
 #: Links that later rounds may bring and one task joins up; more are joined by all.
 FEW_LINKS = 10_000
-#: Leads of a bucket in each of the later rounds.
-LEADS = 2
-#: Following entries by which a crowded bucket is cut.
-FINER = 4
+#: Nodes of a bucket that one row of a task holds; a larger bucket is cut into parts, and each part meets each.
+PART = 1024
+#: Pairs for each node that a part of a bucket lets out in the first round.
+OPEN = 8
+#: Pairs whose fine bags a task compares at once.
+GAPS = 2048
 #: Counters of words by hash, which bound the edit distance before texts are brought together: few for all pairs, then more for those left.
 BINS, FINE_BINS = 64, (256, 1024)
 #: Texts with more words than this have the larger number of fine bins, which fold to the smaller.
@@ -302,6 +303,7 @@ def bag_gaps(a: list[bytes], b: list[bytes]) -> np.ndarray:
         at = np.flatnonzero((sizes == (p, q)).all(1))
         # a word's bin among few bins is its bin among many, modulo their number
         few = [np.frombuffer(b"".join(x[i] for i in at), np.uint8).reshape(len(at), -1, min(p, q)).sum(1, dtype=np.int32) for x in (a, b)]
+        few = [np.minimum(x, 255) for x in few]  # as counts among few bins end there
         gap = few[0] - few[1]
         out[at] = np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1))
     return out
@@ -311,27 +313,71 @@ def _lengths(a: str, b: str, threshold: float):
     return F.greatest(a, b) - F.least(a, b) <= F.floor(F.greatest(a, b) * (1 - threshold) + 1e-9)
 
 
-def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, key, label) of the buckets whose nodes have different labels."""
-    rows = rows.join(labels, "node")
-    mixed = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
-    return materialize(rows.join(mixed, "key", "left_semi").select("node", "key", "label"), "omh-mixed")
+def _cells(rows: DataFrame, labels: DataFrame, part: int) -> DataFrame:
+    """(key, p, q, own, node) of the buckets whose nodes have different labels, a cell (key, p, q) for each two parts of a bucket."""
+    rows = rows.select("node", "key").join(labels, "node")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.ceil(F.count("*") / part).cast("int").alias("parts")).where("a != b").select("key", "parts")
+    dealt = rows.join(mixed, "key").select("key", "node", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return materialize(dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node"), "omh-cells")
 
 
-def _by_hash(rows: DataFrame, step: int) -> DataFrame:
-    """(key, node, lead), the larger first, for the nodes of a bucket and its ``LEADS`` nodes with the least hashes, where labels differ."""
-    least = lambda n: F.min(F.struct(F.xxhash64("node", F.lit(step * LEADS + n)).alias("h"), F.col("node").alias("lead"), F.col("label").alias("other")))
-    leads = rows.groupBy("key").agg(*[least(n).alias(f"x{n}") for n in range(LEADS)])
-    leads = leads.select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"x{n}.lead", f"x{n}.other") for n in range(LEADS)]))).alias("x")).select("key", "x.lead", "x.other")
-    met = rows.join(leads, "key").where("label != other")
-    return met.select("key", F.greatest("node", "lead").alias("node"), F.least("node", "lead").alias("lead"))
+def _apart(cells: DataFrame, labels: DataFrame, info: DataFrame, threshold: float, most: int) -> DataFrame:
+    """(key, p, q, node, lead, after) of pairs (the larger node first) of different labels whose lengths and bags allow that they are similar.
 
+    Of each cell the ``most`` pairs a node of least hash above the column
+    ``after`` of cells; if there are more, ``after`` is the hash of the last.
+    """
 
-def _finer(rows: DataFrame, info: DataFrame) -> DataFrame:
-    """(node, key) of the buckets cut by each of the next entries of the node's sketch, in a ring."""
-    keys = rows.select("node", "key").join(info.select("node", "keys"), "node").withColumn("at", F.array_position("keys", F.col("key")))
-    after = lambda d: F.element_at("keys", (F.pmod(F.col("at") - 1 + d, F.size("keys")) + 1).cast("int"))
-    return keys.select("node", F.explode(F.array_distinct(F.array(*[F.xxhash64("key", after(d)) for d in range(1, FINER + 1)]))).alias("key"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, p, q, after, rows in zip(*[batch.column(c).to_pylist() for c in ("key", "p", "q", "after")], batch.column("rows"), strict=True):
+                node, label, n, own, bag, fine = rows.values.flatten()
+                bags = np.frombuffer(b"".join(bag.to_pylist()), np.uint8).reshape(len(node), -1)
+                big, small, more = open_pairs(*[x.to_numpy() for x in (node, label, n, own)], bags, fine.to_pylist(), p == q, after, most * len(node), threshold)
+                same = [pa.array([x] * len(big), t) for x, t in ((key, pa.int64()), (p, pa.int32()), (q, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(big), pa.array(small), pa.array([more] * len(big), pa.int64())], names=["key", "p", "q", "node", "lead", "after"])
+
+    known = cells.join(labels, "node").join(info.select("node", "n", "bag", "fine"), "node")
+    whole = known.groupBy("key", "p", "q", "after").agg(F.collect_list(F.struct("node", "label", "n", "own", "bag", "fine")).alias("rows"), F.min("label").alias("a"), F.max("label").alias("b"))
+    return whole.where("a != b").select("key", "p", "q", "after", "rows").mapInArrow(run, "key long, p int, q int, node long, lead long, after long")
+
+
+def open_pairs(node: np.ndarray, label: np.ndarray, n: np.ndarray, own: np.ndarray, bags: np.ndarray, fine: list[bytes], within: bool, after: int | None, most: int, threshold: float) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """Larger and smaller node of the open pairs of a cell, those of least hash above ``after``, and the last one's hash if there are more than ``most``."""
+    order = np.argsort(n, kind="stable")
+    node, label, n, own, bags = node[order], label[order], n[order], own[order], bags[order].astype(np.int16)
+    found_i, found_j = [], []
+    sums = bags.sum(1, dtype=np.int32)
+    # the longer text decides how much may differ: partners of i are those that follow, up to the length at which i is too short
+    longest = np.floor(n / threshold + 1) + 1
+    to = np.searchsorted(n, longest, "right")
+    for i in range(len(node)):
+        j = np.arange(i + 1, to[i])
+        j = j[(label[j] != label[i]) & (within | (own[j] != own[i]))]
+        room = ((1 - threshold) * n[j] + 1e-9).astype(np.int64)
+        j = j[n[j] - n[i] <= room]
+        if len(j):
+            gap = (np.abs(bags[j] - bags[i]).sum(1, dtype=np.int32) + np.abs(sums[j] - sums[i])) // 2
+            j = j[gap <= ((1 - threshold) * n[j] + 1e-9).astype(np.int64)]
+            found_i.append(np.full(len(j), i))
+            found_j.append(j)
+    if not sum(map(len, found_i)):
+        return node[:0], node[:0], None
+    i, j = np.concatenate(found_i), np.concatenate(found_j)
+    keep = []
+    for s in range(0, len(i), GAPS):
+        a, b = order[i[s : s + GAPS]], order[j[s : s + GAPS]]
+        keep.append(bag_gaps([fine[x] for x in a], [fine[x] for x in b]) <= ((1 - threshold) * n[j[s : s + GAPS]] + 1e-9).astype(np.int64))
+    keep = np.concatenate(keep)
+    u, v = node[i[keep]], node[j[keep]]
+    big, small = np.maximum(u, v), np.minimum(u, v)
+    rank = mix(big.view(np.uint64) + mix(small.view(np.uint64))).view(np.int64)
+    if after is not None:
+        big, small, rank = big[rank > after], small[rank > after], rank[rank > after]
+    if len(rank) <= most:
+        return big, small, None
+    last = int(np.partition(rank, most - 1)[most - 1])
+    return big[rank <= last], small[rank <= last], last
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -341,7 +387,7 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(labels.join(new, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "omh-labels")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, size: int = SKETCH) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, size: int = SKETCH, part: int = PART) -> DataFrame:
     """(doc, node, class_id) for each row: ``node`` is the xxhash64 of its text, ``class_id`` the least id of its class."""
     bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).withColumn("node", F.xxhash64("t"))
@@ -352,31 +398,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     involved = nodes.join(rows.select("node").distinct(), "node", "left_semi")
     info, drop_info = _node_table(base, involved)
     labels = info.select("node", F.col("node").alias("label"))
-    tried, step = None, 0
+    tried = materialize(rows.where("node != lead").select("node", "lead").distinct(), "omh-pairs")
+    good = _links(materialize(possible(tried, info, threshold), "omh-possible"), info, threshold)
+    if not good.isEmpty():
+        labels = _joined(labels, good)
+    cells, most = _cells(rows, labels, part).withColumn("after", F.lit(None).cast("long")), OPEN
+    release(rows)
     while True:
-        met = rows.where("node != lead") if step == 0 else materialize(_by_hash(rows, step), "omh-met")
-        pairs = met.select("node", "lead").distinct()
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["node", "lead"], "left_anti"), "omh-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        met = materialize(_apart(cells, labels, info, threshold, most), "omh-met")
+        pairs = materialize(met.select("node", "lead").distinct().join(tried, ["node", "lead"], "left_anti"), "omh-pairs")
         good = _links(pairs, info, threshold)
         if not good.isEmpty():
             labels = _joined(labels, good)
-        elif step > 1:
-            break
-        if step == 1:
-            left = _finer(rows, info)
-        elif step > 1:
-            left = rows.join(met.join(good, ["node", "lead"], "left_semi").select("key").distinct(), "key", "left_semi")
-        else:
-            left = rows
-        was, rows = rows, _mixed(left.select("node", "key"), labels)
-        release(was)
-        if rows.isEmpty():
+        more = met.where("after is not null").select("key", "p", "q", "after").distinct()
+        if more.isEmpty():
             break
-        step += 1
+        tried, most = tried.unionByName(pairs), 4 * most
+        cells = materialize(cells.drop("after").join(more, ["key", "p", "q"]), "omh-cells")
     labels = materialize(labels, "omh-labels")  # whatever the loop left, without the table of nodes
     drop_info()
-    release(rows)
+    release(cells, met)
     marked = prints.select("doc", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = marked.groupBy("label").agg(F.min("doc").alias("class_id"))
     return marked.join(names, "label").select("doc", "node", "class_id")
@@ -390,9 +431,7 @@ def _shared(entries: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
     """Those of the pairs (node, lead) that are similar."""
-    open_pairs = materialize(possible(pairs, info, threshold), "omh-possible")
-    sims = materialize(_compare(open_pairs, info.select("node", "t"), threshold), "omh-verified")
-    release(open_pairs)
+    sims = materialize(_compare(pairs, info.select("node", "t"), threshold), "omh-verified")
     return sims.where("similarity >= 0").select("node", "lead")
 
 
