@@ -306,6 +306,18 @@ def test_labels_spread_like_a_queue_in_a_random_mask(spark):
     assert {r["flat"]: r["label"] for r in G.propagate_labels(df, mask, grid, reach=2).collect()} == want
 
 
+def test_labels_spread_far_in_few_rounds(spark, monkeypatch):
+    mask, grid = line(spark, [1] * 2000)
+    seeds = spark.createDataFrame([(0, 1), (1999, 2)], "flat long, label int")
+    want, rounds, ordered = {n: (1, n) if n < 1000 else (2, 1999 - n) for n in range(2000)}, [], G.ordered_ids
+    monkeypatch.setattr(G, "ordered_ids", lambda *a: rounds.append(1) or ordered(*a))
+    for cells, most in ((1 << 22, 0), (1200, 2)):  # in one block; in blocks of 400
+        monkeypatch.setattr(G, "BLOCK_CELLS", cells)
+        assert {r["flat"]: (r["label"], r["level"]) for r in G.propagate_labels(seeds, mask, grid).collect()} == want
+        assert len(rounds) <= most
+    assert G.widest_reach((15_000, 25, 24), 1 << 22) == 2330 and G.widest_reach((1000, 1000, 1000), 1 << 22) == 53
+
+
 def test_mesh_components_and_empty_vertices(spark):
     tri = spark.createDataFrame([(0, 0, 1, 2), (1, 3, 4, 5), (2, 5, 6, 99)], "tid long, a long, b long, c long")
     vertex = spark.range(8).select(F.col("id").alias("vid"), *[F.lit(0.0).alias(c) for c in "xyz"])

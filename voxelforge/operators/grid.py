@@ -7,6 +7,8 @@ voxels that are set: (flat, i, j, k).
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +21,10 @@ from .components import least_reachable, number_roots, ordered_ids
 
 # Fixed value: the order in which the six neighbours are visited
 SIX = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
-#: Levels that a task spreads labels on its own, and the side of its block of cells.
+#: Levels that a task spreads labels on its own, and the side of its block of cells, at least.
 REACH = 32
+#: Cells of a widened block that a task spreads labels in.
+BLOCK_CELLS = 1 << 22
 CUBE = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 
 
@@ -169,7 +173,8 @@ def _spread(dims: tuple[int, int, int], side: int, base: int):
     """Breadth-first spreading of ``side`` levels within a widened block, a level at a time as NumPy gathers.
 
     ``cur`` holds the last level in queue order; the first visit of a cell in
-    the order of (queue, SIX) decides its place in the next level.
+    the order of (queue, SIX) decides its place in the next level. Ways are
+    traced back from the last level only.
     """
     per_axis = [(n - 1) // side + 1 for n in dims]
 
@@ -179,13 +184,13 @@ def _spread(dims: tuple[int, int, int], side: int, base: int):
         block = int(rows["block"].iloc[0])
         home = (block // (per_axis[1] * per_axis[2]), block // per_axis[2] % per_axis[1], block % per_axis[2])
         core = np.all([rows[c].to_numpy() // side == h for c, h in zip("ijk", home, strict=True)], 0)
-        row_of = np.full(cells, -1, np.int64)
+        row_of = np.full(cells, -1, np.int32)
         row_of[at[rank < 0]] = np.flatnonzero(rank < 0)
         start = np.flatnonzero(rank >= 0)
         start = start[np.argsort(rank[start], kind="stable")]
-        cur, root, label, way = at[start], rank[start], rows["label"].to_numpy()[start], np.zeros((len(start), 0), np.uint8)
+        cur, root, label = at[start], rank[start], rows["label"].to_numpy()[start]
         steps = np.array([sum(d * t for d, t in zip(s, strides, strict=True)) for s in SIX])
-        out = []
+        levels, own_rows, own_labels, own_roots, parents, turns, own = [], [], [], [], [], [], np.zeros(0, np.int64)
         for level in range(base + 1, base + side + 1):
             visits = (cur[:, None] + steps).ravel()
             visits = np.where(row_of[visits] >= 0, visits, -1)
@@ -195,30 +200,52 @@ def _spread(dims: tuple[int, int, int], side: int, base: int):
                 break
             cur, parent = visits[first], first // len(steps)
             root, label = root[parent], label[parent]
-            way = np.concatenate([way[parent], (first % len(steps)).astype(np.uint8)[:, None]], 1)
+            parents.append(parent.astype(np.int32))
+            turns.append((first % len(steps)).astype(np.uint8))
             row, row_of[cur] = row_of[cur], -1
             own = np.flatnonzero(core[row])
-            last = level == base + side
-            ways = [way[o].tobytes() for o in own] if last else [b""] * len(own)
-            out.append(pd.DataFrame({"flat": flat[row[own]], "label": label[own], "level": np.full(len(own), level, np.int32), "rank": root[own], "way": ways}))
-        return pd.concat(out) if out else pd.DataFrame({"flat": [], "label": [], "level": [], "rank": [], "way": []})
+            levels.append(np.full(len(own), level, np.int32))
+            own_rows.append(row[own])
+            own_labels.append(label[own])
+            own_roots.append(root[own])
+        if not levels:
+            return pd.DataFrame({"flat": [], "label": [], "level": [], "rank": [], "way": []})
+        out = pd.DataFrame({"flat": flat[np.concatenate(own_rows)], "label": np.concatenate(own_labels), "level": np.concatenate(levels), "rank": np.concatenate(own_roots), "way": b""})
+        if len(levels) == side and len(own):
+            back, way = own, np.zeros((len(own), side), np.uint8)
+            for n in range(side - 1, -1, -1):
+                way[:, n], back = turns[n][back], parents[n][back]
+            out["way"] = [b""] * (len(out) - len(own)) + [w.tobytes() for w in way]
+        return out
 
     return run
 
 
-def propagate_labels(seeds: DataFrame, target: DataFrame, grid: Grid, *, reach: int = REACH) -> DataFrame:
+def widest_reach(dims: tuple[int, int, int], cells: int) -> int:
+    """The most levels a round may spread so that a block of that side, widened by it, has at most ``cells`` cells (``REACH`` at least); all if the grid has no more."""
+    if math.prod(dims) <= cells:
+        return math.prod(dims)
+    low, high = REACH, math.prod(dims)
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if math.prod(min(n, 3 * mid) for n in dims) <= cells else (low, mid)
+    return low
+
+
+def propagate_labels(seeds: DataFrame, target: DataFrame, grid: Grid, *, reach: int | None = None) -> DataFrame:
     """(flat, label, level): seeds (flat, label) spread through the target in breadth-first order.
 
     Ties fall as in a queue: seeds in order of flat (of repeated ones the least
     label), then the neighbours of earlier voxels first, in the order of SIX. A
     round spreads ``reach`` levels: a task works on a cube of that side and as
-    much around it, which is all that can reach the cube's voxels, so memory is
-    bounded by (3 reach) cubed cells. Only cubes near the last level take part.
+    much around it, which is all that can reach the cube's voxels. Without
+    ``reach`` it is as large as ``BLOCK_CELLS`` cells allow, so long thin grids
+    take few rounds and small ones a single one. Only cubes near the last level take part.
     A voxel's place in the queue is the place of its ancestor at the start of
     the round, then the directions of its way; only the round's last level is
     numbered anew, by range partition.
     """
-    spark = target.sparkSession
+    spark, reach = target.sparkSession, reach or widest_reach(grid.dims, BLOCK_CELLS)
     path = new_path(spark, "waves")
     schema = "flat long, label int, level int, rank long, way binary"
     inside = target.select("flat").distinct()
