@@ -8,6 +8,7 @@ import struct
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,6 +226,36 @@ def test_tracer_on_a_straight_line(spark):
     assert T.trace_within(index, index.select("fixel_id").where("fixel_id < 0"), seeds).isEmpty()
 
 
+def test_best_aligned_points_leave_cells_without_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    unit = lambda n: (x := rng.normal(size=(n, 3))) / np.sqrt((x * x).sum(1))[:, None]
+    p, d, q, u = rng.normal(size=(400, 3)) * 4, unit(400), rng.normal(size=(300, 3)) * 4, unit(300)
+    d[7], d[3], u[:5] = d[9], -d[9], d[9]  # ties, of either sign
+    points = pa.table([pa.array(np.arange(400)), *map(pa.array, [*p.T, *d.T])], names=["fixel_id", "px", "py", "pz", "dx", "dy", "dz"])
+    probes = pa.table([pa.array(np.arange(300)), pa.array(np.ones(300, np.int32)), *map(pa.array, [*q.T, *u.T])], names=["sid", "sign", "qx", "qy", "qz", "ux", "uy", "uz"])
+    for scale in (1.0, 1.001):  # unit directions and others
+        near = ((q[:, None] - p) ** 2).sum(2) <= 9
+        cos = np.where(near, np.abs(u[:, :1] * d[:, 0] + u[:, 1:2] * d[:, 1] + u[:, 2:] * d[:, 2]) * scale, -1)
+        table = points.drop(["dx", "dy", "dz"])
+        for c, x in zip("xyz", d.T, strict=True):
+            table = table.append_column(f"d{c}", pa.array(x * scale))
+        got = T._best(3.0, 0.8)(probes, table).to_pydict()
+        assert dict(zip(got["sid"], got["fixel_id"], strict=True)) == {i: int(cos[i].argmax()) for i in range(300) if cos[i].max() > 0.8}
+
+
+def test_tracing_shuffles_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    d = rng.normal(size=(150, 3))
+    index = X.from_handles(handles(spark, (rng.normal(size=(150, 3)) * 3).tolist(), d.tolist()), jitter=False).fixels
+    seeds = index.select(F.col("fixel_id").alias("sid"), "fixel_id")
+    run = lambda: sorted(map(tuple, T.trace_within(index, index.select("fixel_id"), seeds).collect()))
+    whole = run()
+    assert whole
+    monkeypatch.setattr(T, "PROBES", 40)  # cells in parts
+    monkeypatch.setattr(T, "POINTS", 30)
+    assert run() == whole
+
+
 def test_mean_filter(spark):
     grid = Grid((5, 1, 1))
     field = spark.createDataFrame([(3, 3, 0, 0, 1.0), (4, 4, 0, 0, 1.0)], "flat long, i int, j int, k int, value double")
