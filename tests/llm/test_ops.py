@@ -527,6 +527,75 @@ def test_no_lead_hides_similar_texts(spark):
     assert [r["class_id"] for r in cut] == want
 
 
+def alike_texts():
+    rng = random.Random(9)
+    texts, passage, own = [], [f"p{i}" for i in range(60)], [f"o{i}" for i in range(40)]
+    for g in range(150):  # the same words, 40 of 100 in an order of their own: no bag tells them apart, few are similar
+        rng.shuffle(own)
+        texts.append(" ".join(passage + own))
+        if g % 30 == 0:
+            texts.append(" ".join(passage + own[:22] + [f"x{g}"] + own[23:] + [f"y{g}"]))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_tasks_let_out_rows_not_pairs(spark, monkeypatch):
+    texts, made, write = alike_texts(), {}, OM.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(OM, "materialize", counted)
+    assert near_classes(spark, texts) == classes_by_brute_force(texts)
+    # a row for each entry of a text at most; a pair is looked at in one bucket, and links only join components
+    assert made["omh-buckets"] > 1000 and max(v for k, v in made.items()) <= made["omh-sketches"] * OM.SKETCH
+    assert made["omh-met"] <= made["omh-buckets"] and made["omh-links"] < 5 * len(texts)
+
+
+def test_tiles_hold_all_pairs():
+    rng = np.random.default_rng(8)
+    for sides in (1, 2):
+        m = 50
+        n, own = rng.integers(5, 90, m), rng.integers(0, sides, m) * 3
+        a, b = np.array([(i, j) for i in range(m) for j in range(i) if sides == 1 or own[i] != own[j]]).T
+        some = rng.random(len(a)) < 0.4
+        a, b = a[some], b[some]
+        for limits in ({}, {"work": 10}, {"texts": 10, "tile": 7}, {"work": 10, "tile": 1}):
+            tile, place, block = OM.tiles(n, own, a, b, **({"tile": 16} | limits))
+            got = []
+            for t in np.unique(tile):
+                of = dict(zip(place[tile == t].tolist(), block[tile == t].tolist(), strict=True))
+                assert not limits or len(of) <= 2 * limits.get("tile", 16)
+                got += [(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i in of and j in of and (of[i] != of[j] or len({*of.values()}) == 1)]
+            assert sorted(got) == sorted(zip(a.tolist(), b.tolist(), strict=True))  # each in one tile
+
+
+def test_cut_groups_give_the_same_links():
+    texts = alike_texts()
+    at = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    words = [word_hashes(x, np.array([0, len(x)]))[0] for x in at]
+    n = np.array([len(w) for w in words])
+    off = np.concatenate([[0], np.cumsum(n)])
+    flat, m = np.concatenate(words), len(words)
+    node, keys = np.random.default_rng(2).permutation(m) * 10, np.where(np.arange(2) == 1, 77, np.arange(m)[:, None])
+    bags, fine, none = OM.word_bags(flat, off), OM.fine_bags(flat, off), np.zeros(m, np.int64)
+    big, small, _ = OM.open_pairs(node, node, n, none, bags, fine, True, None, m * m, 0.8)
+    place = {x: i for i, x in enumerate(node.tolist())}
+    a, b = [np.array([place[x] for x in e.tolist()]) for e in (big, small)]
+    want = {frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True) if OM.similar(words[x[0]], words[x[1]]) >= 0}
+    assert want and len(a) > 10_000
+    for limits in ({}, {"work": 10, "tile": 16}):
+        got, (tile, rows, block) = set(), OM.tiles(n, none, a, b, **limits)
+        for t in np.unique(tile):
+            r = rows[tile == t]
+            known = [n[r], block[tile == t], bags[r], [fine[i] for i in r]]
+            got |= {frozenset((place[x], place[y])) for x, y in OM.joining_links(77, keys[r], node[r], node[r], known, [words[i] for i in r], 0.8)}
+        assert got == want  # pairs: no chain saves a link
+    assert OM.own_pairs(78, keys, a, b).sum() == 0
+
+
 def test_folded_bags_bound_from_below():
     few, many = np.zeros(256, np.uint8), np.zeros(1024, np.uint8)
     few[3], many[3], many[259] = 255, 255, 255  # 510 words in one bin, or 255 in each of two that fold to it

@@ -17,11 +17,12 @@ Groups of any size are handled without emitting all pairs: identical texts are
 one node; within a bucket (the nodes that agree in an entry) every node is
 compared with the least one, so that a cluster has the same lead in all its
 buckets. Buckets whose nodes the links so far leave in different components are
-then searched whole: tasks look at all pairs of such a bucket and let out those
-of different components that lengths and bags of words allow to be similar, at
-first the ``OPEN`` for each node of least hash, and the rest, four times as many
-a round, as far as the links found meanwhile leave them in different components.
-So no two similar texts that agree in an entry end in different classes. Links
+then searched whole. Tasks look at all pairs of such a bucket, each pair in the
+first bucket that its texts share, and name the texts of those of different
+components that lengths and bags of words allow to be similar; these texts come
+to tasks that align them and let out only links that join components. So no two
+similar texts that agree in an entry end in different classes, and what tasks let
+out grows with the texts, not with their pairs. Links
 go to connected components; a class is named by its least id.
 
 Null texts count as empty; all texts without words are verified as equal only if
@@ -52,8 +53,10 @@ THRESHOLD = 0.8
 FEW_LINKS = 10_000
 #: Nodes of a bucket that one row of a task holds; a larger bucket is cut into parts, and each part meets each.
 PART = 1024
-#: Pairs for each node that a part of a bucket lets out in the first round.
+#: Pairs for each node that a task aligns in its first round; the next takes four times as many, without those that links have joined meanwhile.
 OPEN = 8
+#: Words of all pairs, and of all texts, that a task aligns as one group; beyond either the group is cut into blocks of TILE texts, and each block meets each.
+WORK, TEXTS, TILE = 1 << 22, 1 << 20, 128
 #: Pairs whose fine bags a task compares at once.
 GAPS = 2048
 #: Counters of words by hash, which bound the edit distance before texts are brought together: few for all pairs, then more for those left.
@@ -321,25 +324,130 @@ def _cells(rows: DataFrame, labels: DataFrame, part: int) -> DataFrame:
     return materialize(dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node"), "omh-cells")
 
 
-def _apart(cells: DataFrame, labels: DataFrame, info: DataFrame, threshold: float, most: int) -> DataFrame:
-    """(key, p, q, node, lead, after) of pairs (the larger node first) of different labels whose lengths and bags allow that they are similar.
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch]]:
+    """The rows of each run of equal values of ``by``, across batches."""
+    held, of = [], ()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = np.stack([batch.column(c).to_numpy() for c in by], 1)
+        edges = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), len(ids)]
+        for s, e in zip(edges, edges[1:]):
+            if held and of != tuple(ids[s].tolist()):
+                yield of, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            of = tuple(ids[s].tolist())
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield of, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows with equal ``by`` after each other, in as many tasks as a shuffle has: few bytes are much work here."""
+    return rows.repartition(shuffle_partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
+
+
+def _known(rows: pa.RecordBatch) -> tuple[list, np.ndarray]:
+    """The arguments of ``open_pairs`` that tell what is known of the rows' nodes; and their keys, filled up with numbers that no two share."""
+    node, label, n, own = [rows.column(c).to_numpy() for c in ("node", "label", "n", "own")]
+    bags = np.frombuffer(b"".join(rows.column("bag").to_pylist()), np.uint8).reshape(len(node), -1)
+    entries = rows.column("keys")
+    many = np.diff(entries.offsets.to_numpy())
+    keys = np.repeat(np.arange(len(node))[:, None], many.max(), 1)
+    keys[np.arange(many.max()) < many[:, None]] = entries.flatten().to_numpy()
+    return [node, label, n, own, bags, rows.column("fine").to_pylist()], keys
+
+
+def own_pairs(key: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether ``key`` is the first that the nodes of the pairs (a, b) share, so that each pair is looked at in one bucket."""
+    out = np.ones(len(a), bool)
+    for s in range(0, len(a), GAPS):
+        left, right = keys[a[s : s + GAPS]], keys[b[s : s + GAPS]]
+        same = left == right
+        first = same.argmax(1)[:, None]
+        out[s : s + GAPS] = ~same.any(1) | (np.take_along_axis(left, first, 1)[:, 0] == key)
+    return out
+
+
+def _at(node: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+    order = np.argsort(node)
+    return [order[np.searchsorted(node, x, sorter=order)] for x in ends]
+
 
-    Of each cell the ``most`` pairs a node of least hash above the column
-    ``after`` of cells; if there are more, ``after`` is the hash of the last.
+def tiles(n: np.ndarray, own: np.ndarray, a: np.ndarray, b: np.ndarray, work: int = WORK, texts: int = TEXTS, tile: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tile, place, own) of the nodes that take part in the pairs (a, b) of places.
+
+    One tile takes all if that is little; else there is one for each two blocks of
+    nodes that have pairs. A tile's pairs are those of different ``own``, or all if
+    it has one ``own`` only.
     """
+    part = np.unique(np.concatenate([a, b]))
+    if np.maximum(n[a], n[b]).sum() <= work and n[part].sum() <= texts:
+        return np.zeros(len(part), np.int64), part, own[part].astype(np.int64)
+    part = part[np.lexsort([n[part], own[part]])]
+    first = np.concatenate([[True], own[part][1:] != own[part][:-1]])
+    at = np.arange(len(part))
+    # blocks end where ``own`` changes, so that blocks of different ``own`` have no pairs within
+    block = np.zeros(len(n), np.int64)
+    block[part] = np.cumsum(first | ((at - np.maximum.accumulate(np.where(first, at, 0))) % tile == 0)) - 1
+    many = block[part[-1]] + 1
+    of = np.minimum(block[a], block[b]) * many + np.maximum(block[a], block[b])
+    rows = np.unique(np.concatenate([of * len(n) + a, of * len(n) + b]))
+    return rows // len(n), rows % len(n), block[rows % len(n)]
+
+
+def _apart(cells: DataFrame, labels: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
+    """(key, p, q, tile, node, own) of the nodes of a cell that have a partner of another label whose length and bags allow that they are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, p, q, after, rows in zip(*[batch.column(c).to_pylist() for c in ("key", "p", "q", "after")], batch.column("rows"), strict=True):
-                node, label, n, own, bag, fine = rows.values.flatten()
-                bags = np.frombuffer(b"".join(bag.to_pylist()), np.uint8).reshape(len(node), -1)
-                big, small, more = open_pairs(*[x.to_numpy() for x in (node, label, n, own)], bags, fine.to_pylist(), p == q, after, most * len(node), threshold)
-                same = [pa.array([x] * len(big), t) for x, t in ((key, pa.int64()), (p, pa.int32()), (q, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(big), pa.array(small), pa.array([more] * len(big), pa.int64())], names=["key", "p", "q", "node", "lead", "after"])
+        for (key, p, q), rows in _groups(batches, ["key", "p", "q"]):
+            known, keys = _known(rows)
+            node, label, n, own = known[:4]
+            if (label == label[0]).all():
+                continue
+            a, b = _at(node, *open_pairs(*known, p == q, None, len(node) ** 2, threshold)[:2])
+            ours = own_pairs(key, keys, a, b)
+            if ours.any():
+                tile, place, block = tiles(n, own, a[ours], b[ours])
+                same = [pa.array(np.full(len(tile), x), t) for x, t in ((key, pa.int64()), (p, pa.int32()), (q, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(tile), pa.array(node[place]), pa.array(block.astype(np.int32))], names=["key", "p", "q", "tile", "node", "own"])
+
+    known = cells.join(labels, "node").join(info.select("node", "n", "bag", "fine", "keys"), "node")
+    return _dealt(known, "key", "p", "q").mapInArrow(run, "key long, p int, q int, tile long, node long, own int")
 
-    known = cells.join(labels, "node").join(info.select("node", "n", "bag", "fine"), "node")
-    whole = known.groupBy("key", "p", "q", "after").agg(F.collect_list(F.struct("node", "label", "n", "own", "bag", "fine")).alias("rows"), F.min("label").alias("a"), F.max("label").alias("b"))
-    return whole.where("a != b").select("key", "p", "q", "after", "rows").mapInArrow(run, "key long, p int, q int, node long, lead long, after long")
+
+def _met_links(met: DataFrame, labels: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
+    """(node, lead) of similar nodes of different labels: of each tile of ``_apart`` as many as join the labels that its similar pairs join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, *_), rows in _groups(batches, ["key", "p", "q", "tile"]):
+            (node, label, *known), keys = _known(rows)
+            words = []
+            for part in slices(rows, "t"):
+                w, _, _, off = word_hashes(*buffers(lowered(part.column("t"))))
+                words += [w[s:e] for s, e in zip(off, off[1:])]
+            links = joining_links(key, keys, node, label, known, words, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["node", "lead"])
+
+    known = met.join(labels, "node").join(info.select("node", "n", "bag", "fine", "keys", "t"), "node")
+    return _dealt(known, "key", "p", "q", "tile").mapInArrow(run, "node long, lead long")
+
+
+def joining_links(key: int, keys: np.ndarray, node: np.ndarray, label: np.ndarray, known: list, words: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links (larger node, smaller node) between nodes of a tile that are similar; pairs that links join already are not aligned."""
+    label, after, most, out = label.copy(), None, OPEN * len(node), []
+    within = bool((known[1] == known[1][0]).all())
+    while True:
+        big, small, after = open_pairs(node, label, *known, within, after, most, threshold)
+        a, b = _at(node, big, small)
+        ours = own_pairs(key, keys, a, b)
+        for i, j in zip(a[ours].tolist(), b[ours].tolist()):
+            if label[i] != label[j] and similar(words[i], words[j], threshold) >= 0:
+                out.append((int(node[i]), int(node[j])))
+                label[label == label[i]] = label[j]
+        if after is None:
+            return out
+        most *= 4
 
 
 def open_pairs(node: np.ndarray, label: np.ndarray, n: np.ndarray, own: np.ndarray, bags: np.ndarray, fine: list[bytes], within: bool, after: int | None, most: int, threshold: float) -> tuple[np.ndarray, np.ndarray, int | None]:
@@ -402,22 +510,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     good = _links(materialize(possible(tried, info, threshold), "omh-possible"), info, threshold)
     if not good.isEmpty():
         labels = _joined(labels, good)
-    cells, most = _cells(rows, labels, part).withColumn("after", F.lit(None).cast("long")), OPEN
+    cells = _cells(rows, labels, part)
     release(rows)
-    while True:
-        met = materialize(_apart(cells, labels, info, threshold, most), "omh-met")
-        pairs = materialize(met.select("node", "lead").distinct().join(tried, ["node", "lead"], "left_anti"), "omh-pairs")
-        good = _links(pairs, info, threshold)
-        if not good.isEmpty():
-            labels = _joined(labels, good)
-        more = met.where("after is not null").select("key", "p", "q", "after").distinct()
-        if more.isEmpty():
-            break
-        tried, most = tried.unionByName(pairs), 4 * most
-        cells = materialize(cells.drop("after").join(more, ["key", "p", "q"]), "omh-cells")
-    labels = materialize(labels, "omh-labels")  # whatever the loop left, without the table of nodes
+    met = materialize(_apart(cells, labels, info, threshold), "omh-met")
+    release(cells)
+    good = materialize(_met_links(met, labels, info, threshold), "omh-links")
+    if not good.isEmpty():
+        labels = _joined(labels, good)
+    labels = materialize(labels, "omh-labels")  # without the table of nodes
     drop_info()
-    release(cells, met)
+    release(met, good)
     marked = prints.select("doc", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = marked.groupBy("label").agg(F.min("doc").alias("class_id"))
     return marked.join(names, "label").select("doc", "node", "class_id")
