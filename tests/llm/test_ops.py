@@ -596,6 +596,13 @@ def test_cut_groups_give_the_same_links():
     assert OM.own_pairs(78, keys, a, b).sum() == 0
 
 
+def test_groups_beyond_one_arrow_array_are_whole():
+    size = 800_000_000  # three such texts are more than the 2 GB of an Arrow string array
+    text = pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, size], np.int32)), pa.py_buffer(bytes(size)))
+    batches = [pa.RecordBatch.from_arrays([pa.array([key]), text], names=["key", "t"]) for key in (5, 5, 5, 6)]
+    assert [(key, sum(x.num_rows for x in rows)) for key, rows in OM._groups(iter(batches), ["key"])] == [((5,), 3), ((6,), 1)]
+
+
 def test_folded_bags_bound_from_below():
     few, many = np.zeros(256, np.uint8), np.zeros(1024, np.uint8)
     few[3], many[3], many[259] = 255, 255, 255  # 510 words in one bin, or 255 in each of two that fold to it

@@ -1,5 +1,7 @@
 """The stages of the pipeline on the hard rows, each against what its operator decides."""
 
+import random
+
 import corpus_pipeline as CP
 import pytest
 from pyspark.sql import functions as F
@@ -70,5 +72,22 @@ def test_one_of_each_class_stays(spark, hard, sf_dir):
     assert out.where(F.col("doc_id") == 30).count() == 1
 
 
+def test_near_dedup_drops_no_partner_in_a_crowded_bucket(spark):
+    rng, texts, passage = random.Random(5), [], [f"p{i}" for i in range(70)]
+    for g in range(300):  # 70 of 100 words are common to all: every text is in the same buckets, and similar to its own copy only
+        own = [f"o{g}z{i}" for i in range(30)]
+        texts.append((g, " ".join(passage + own)))
+        if g % 30 == 0:
+            for i in rng.sample(range(30), 19):
+                own[i] = f"x{g}z{i}"
+            texts.append((g, " ".join(passage + own)))
+    rng.shuffle(texts)
+    least = {}
+    for i, (g, _) in enumerate(texts):
+        least.setdefault(g, i)
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, (_, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in CP.near_dedup_stage(spark, docs, "").collect()} == set(least.values())
+
+
 def test_queries_are_registered():
     assert len(QUERIES) == 10 and {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)

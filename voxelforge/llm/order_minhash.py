@@ -324,8 +324,8 @@ def _cells(rows: DataFrame, labels: DataFrame, part: int) -> DataFrame:
     return materialize(dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node"), "omh-cells")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch]]:
-    """The rows of each run of equal values of ``by``, across batches."""
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple[int, ...], list[pa.RecordBatch]]]:
+    """The rows of each run of equal values of ``by``, across batches; they stay in parts, as one Arrow array holds 2 GB of text at most."""
     held, of = [], ()
     for batch in batches:
         if not batch.num_rows:
@@ -334,12 +334,12 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[
         edges = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), len(ids)]
         for s, e in zip(edges, edges[1:]):
             if held and of != tuple(ids[s].tolist()):
-                yield of, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                yield of, held
                 held = []
             of = tuple(ids[s].tolist())
             held.append(batch.slice(s, e - s))
     if held:
-        yield of, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield of, held
 
 
 def _dealt(rows: DataFrame, *by: str) -> DataFrame:
@@ -347,15 +347,14 @@ def _dealt(rows: DataFrame, *by: str) -> DataFrame:
     return rows.repartition(shuffle_partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
 
 
-def _known(rows: pa.RecordBatch) -> tuple[list, np.ndarray]:
+def _known(rows: list[pa.RecordBatch]) -> tuple[list, np.ndarray]:
     """The arguments of ``open_pairs`` that tell what is known of the rows' nodes; and their keys, filled up with numbers that no two share."""
-    node, label, n, own = [rows.column(c).to_numpy() for c in ("node", "label", "n", "own")]
-    bags = np.frombuffer(b"".join(rows.column("bag").to_pylist()), np.uint8).reshape(len(node), -1)
-    entries = rows.column("keys")
-    many = np.diff(entries.offsets.to_numpy())
+    node, label, n, own = [np.concatenate([x.column(c).to_numpy() for x in rows]) for c in ("node", "label", "n", "own")]
+    bags = np.frombuffer(b"".join(b for x in rows for b in x.column("bag").to_pylist()), np.uint8).reshape(len(node), -1)
+    many = np.concatenate([np.diff(x.column("keys").offsets.to_numpy()) for x in rows])
     keys = np.repeat(np.arange(len(node))[:, None], many.max(), 1)
-    keys[np.arange(many.max()) < many[:, None]] = entries.flatten().to_numpy()
-    return [node, label, n, own, bags, rows.column("fine").to_pylist()], keys
+    keys[np.arange(many.max()) < many[:, None]] = np.concatenate([x.column("keys").flatten().to_numpy() for x in rows])
+    return [node, label, n, own, bags, [b for x in rows for b in x.column("fine").to_pylist()]], keys
 
 
 def own_pairs(key: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -423,7 +422,7 @@ def _met_links(met: DataFrame, labels: DataFrame, info: DataFrame, threshold: fl
         for (key, *_), rows in _groups(batches, ["key", "p", "q", "tile"]):
             (node, label, *known), keys = _known(rows)
             words = []
-            for part in slices(rows, "t"):
+            for part in (x for batch in rows for x in slices(batch, "t")):
                 w, _, _, off = word_hashes(*buffers(lowered(part.column("t"))))
                 words += [w[s:e] for s, e in zip(off, off[1:])]
             links = joining_links(key, keys, node, label, known, words, threshold)
