@@ -24,6 +24,7 @@ from voxelforge.llm import line_dedup as LD
 from voxelforge.llm import mixing as MX
 from voxelforge.llm import order_minhash as OM
 from voxelforge.llm import repeats as RP
+from voxelforge.llm import run_length_index as RLI
 from voxelforge.llm import secrets as SE
 from voxelforge.llm import simhash as SH
 from voxelforge.llm import warc as WA
@@ -698,6 +699,63 @@ def test_strings_that_the_owner_of_their_anchor_lacks(spark):
     assert got == brute_repeats(rows)
 
 
+@given(st.lists(st.tuples(st.lists(st.text(alphabet="ab\0", max_size=40).map(str.encode), min_size=1, max_size=3), st.lists(st.text(alphabet="abz\0", max_size=60).map(str.encode), max_size=3)), min_size=1, max_size=5), st.integers(2, 12), st.integers(1, 9))
+@settings(max_examples=300, deadline=None)
+def test_texts_in_one_index_stay_apart(texts, length, part):
+    index = RunLengthIndex([p for pieces, _ in texts for p in pieces], length, np.repeat(np.arange(len(texts)), [len(pieces) for pieces, _ in texts]))
+    asked = [(p, n) for n, (_, patterns) in enumerate(texts) for p in patterns]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(RLI, "PART", part)
+        got = index.all_matches([p for p, _ in asked], np.array([n for _, n in asked], np.int64)).tolist()
+    assert got == [any(p[i : i + length] in piece for piece in texts[n][0]) for p, n in asked for i in range(max(0, len(p) - length + 1))]
+
+
+@pytest.mark.parametrize("rows_at_once", [1, 3, 7, 5000])
+def test_owners_of_a_portion_share_an_index(rows_at_once, monkeypatch):
+    rng = random.Random(8)
+    word = lambda n: bytes(rng.choice(b"abc") for _ in range(n))
+    rows, want, built = [], Counter(), []
+    for owner in range(300):
+        pieces = [word(rng.randrange(6, 40)) for _ in range(rng.randrange(1, 4))]
+        rows += [(owner, True, owner, 0, [0] * len(pieces), [False] * len(pieces), pieces)] * (owner % 5 > 0)
+        for doc in range(1000, 1000 + rng.randrange(6)):
+            asked = [word(rng.randrange(6, 30)) for _ in range(rng.randrange(1, 3))]
+            rows.append((owner, False, doc, owner, [100 * n for n in range(len(asked))], [True] * len(asked), asked))
+            for n, p in enumerate(asked):
+                for i in range(len(p) - 5):
+                    known = owner % 5 > 0 and any(p[i : i + 6] in q for q in pieces)
+                    want[doc, owner, 100 * n + i, "found" if known else "left"] += 1
+    names = ["owner", "own", "doc", "h", "starts", "more", "pieces"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.binary())]
+    table = pa.table([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=names)
+    table = table.append_column("size", pa.array([sum(map(len, r[6])) for r in rows], pa.int64())).combine_chunks()
+    monkeypatch.setattr(RP, "RunLengthIndex", lambda *a: built.append(1) or RunLengthIndex(*a))
+    got = Counter()
+    for batch in RP.match_batches(iter(table.to_batches(max_chunksize=rows_at_once)), 6):
+        for r in batch.to_pylist():
+            got.update((r["doc"], r["h"], i, "found") for b, e in zip(r["begins"], r["ends"], strict=True) for i in range(b, e - 5))
+            got.update((r["doc"], r["h"], i, "left") for i in r["at"])
+    assert got == want
+    assert rows_at_once < 5000 or len(built) == 1
+
+
+def test_repeats_of_a_hot_owner_are_dealt_to_tasks(spark, hard, hard_rows, monkeypatch):
+    monkeypatch.setattr(RP, "HOT_BYTES", 100)
+    out = RP.remove_repeats(hard).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out) == brute_repeats(hard_rows)
+    piece = lambda n: ("p" * 49 + chr(97 + n)).encode()
+    rows = [(0, doc, 0, 50, [0], [False], [piece(doc % 3)]) for doc in range(40)]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small partitions stay apart
+    try:
+        marks = RP.match_regions(spark.createDataFrame(rows, RP.REGIONS)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    got = {r["doc"]: (r["begins"], r["task"]) for r in marks}
+    assert {d: b for d, (b, _) in got.items()} == {d: [0] if d % 3 == 0 else [] for d in range(1, 40)}
+    assert len({t for _, t in got.values()}) > 1
+
+
 # --- 9 language ID
 
 

@@ -18,8 +18,8 @@ no machine can index all documents at once, so:
    completes the result exactly.
 
 Identical texts are one: all but the least id are covered whole, if they have
-``LENGTH`` bytes. A hot anchor is pre-aggregated within each task, hot owners are
-split by the adaptive join; no group is collected.
+``LENGTH`` bytes. A hot anchor is pre-aggregated within each task, the regions that
+are streamed against a hot owner are dealt to several tasks; no group is collected.
 
 Null texts are empty. Rows with equal id never remove bytes from each other. A
 null id sorts last. Kept bytes may split characters, so they are binary.
@@ -44,38 +44,49 @@ ANCHOR = 32
 LAST_ID = (1 << 63) - 1
 #: Anchors that a task gathers before it packs them; bounds its memory.
 FLUSH = 500_000
+#: Positions that are hashed at once.
+BLOCK = 1 << 14
+#: An owner's index goes to a further task for each so many bytes that are streamed against it (or as many as it has
+#: itself, if more); the owners that have most are looked at, the others stay with one task.
+HOT_BYTES, HOT_OWNERS = 256 << 10, 10_000
+#: Bytes of regions that are indexed and matched at once; bounds the memory of a Python worker.
+MATCH_BYTES = 2 << 20
 _KEY_BYTES = 6
 _NONE = np.uint64((1 << 64) - 1)
 
 
 def window_anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> np.ndarray:
     """The anchor of the window that starts at each byte; all ones where no window of the same text starts."""
-    n = len(data)
+    n, span = len(data), length - k + 1
     out = np.full(n, _NONE)
-    if n < length:
-        return out
-    g = rolling_hashes(data, k)
-    ends = np.repeat(off[1:], np.diff(off))
-    g[np.arange(len(g)) + k > ends[: len(g)]] = _NONE
-    span, have, low = length - k + 1, 1, g
-    while have * 2 <= span:
-        low = np.minimum(low[:-have], low[have:])
-        have *= 2
-    if have < span:
-        low = np.minimum(low[: len(low) - (span - have)], low[span - have :])
-    out[: len(low)] = low
-    out[np.arange(n) + length > ends] = _NONE
+    for at in range(0, n - length + 1, BLOCK):
+        low, have = rolling_hashes(data[at : at + BLOCK + length - 1], k), 1
+        while have * 2 <= span:
+            low = np.minimum(low[:-have], low[have:])
+            have *= 2
+        rest = span - have
+        np.minimum(low[: len(low) - rest], low[rest:], out=out[at : at + len(low) - rest])
+    for start, end in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        out[max(start, end - length + 1) : end] = _NONE
     return out
 
 
 def rolling_hashes(data: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """A 64-bit hash of the k bytes from each position on."""
-    n = len(data)
-    power, inverse = _power_table(n)
-    total = np.zeros(n + 1, np.uint64)
-    values = mix(data.astype(np.uint64) + np.uint64(salt * 256 + 1)) if salt else data.astype(np.uint64) + np.uint64(1)
-    np.cumsum(values * power, out=total[1:])
-    return mix((total[k:] - total[:-k]) * inverse[: n - k + 1])
+    out = np.empty(max(0, len(data) - k + 1), np.uint64)
+    power, inverse = _power_table(BLOCK + k)
+    values = np.arange(1, 257, dtype=np.uint64)
+    values = mix(values + np.uint64(salt * 256)) if salt else values
+    # blocks stay in the processor's cache
+    for at in range(0, len(out), BLOCK):
+        own = values[data[at : at + BLOCK + k - 1]]
+        own *= power[: len(own)]
+        total = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(own, out=total[1:])
+        h = total[k:] - total[:-k]
+        h *= inverse[: len(h)]
+        out[at : at + len(h)] = mix(h)
+    return out
 
 
 def keys_of(anchors: np.ndarray) -> np.ndarray:
@@ -92,15 +103,15 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-PACKED = "gid long, shard int, keys binary, counts binary, docs array<long>, lengths array<int>, other_keys array<long>, other_docs array<long>"
+PACKED = "gid long, shard int, keys binary, counts binary, docs array<long>, lengths array<int>"
 
 
 def pack_anchors(base: DataFrame, shards: int) -> DataFrame:
     """From (doc, t): per task flush and shard the anchors with their least document and local count.
 
-    The further local documents of an anchor are listed apart (shard -1): they
-    stay where they are until the owner is known, so a hot anchor reaches its
-    shard once per flush only.
+    The further local documents of an anchor are listed apart (shard -1, with
+    whole anchors): they wait until the owner is known, so a hot anchor reaches
+    its shard once per flush only.
     """
 
     def flush(gid: int, anchors: list[np.ndarray], rows: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +124,9 @@ def pack_anchors(base: DataFrame, shards: int) -> DataFrame:
         least, last = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
         count = np.where(least == last, 1, np.minimum(size, 3)).astype(np.uint8)
         rest = d != np.repeat(least, size)
-        yield _packed(gid, -1, b"", b"", [], [], keys_of(a[rest]).view(np.int64), ids[d[rest]])
+        others, rest = a[rest], d[rest]
+        order = np.argsort(rest, kind="stable")
+        yield _packed(gid, -1, others[order].tobytes(), b"", *_runs(ids[rest[order]]))
         a = a[first]
         shard = ((a >> np.uint64(48)) % np.uint64(shards)).astype(np.int64)
         order = np.argsort((shard << 32) | least)
@@ -121,9 +134,7 @@ def pack_anchors(base: DataFrame, shards: int) -> DataFrame:
         edges = np.searchsorted(shard, np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(edges)).tolist():
             lo, hi = edges[s], edges[s + 1]
-            own = least[lo:hi]
-            heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            yield _packed(gid, s, _pack(key[lo:hi]), count[lo:hi].tobytes(), ids[own[heads]], np.diff(np.concatenate([heads, [hi - lo]])), [], [])
+            yield _packed(gid, s, _pack(key[lo:hi]), count[lo:hi].tobytes(), *_runs(ids[least[lo:hi]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gid, anchors, rows, docs, size, n = TaskContext.get().partitionId() << 24, [], [], [], 0, 0
@@ -149,19 +160,26 @@ def pack_anchors(base: DataFrame, shards: int) -> DataFrame:
     return base.select("doc", "t").mapInArrow(run, PACKED)
 
 
-def _packed(gid, shard, keys, counts, docs, lengths, other_keys, other_docs) -> pa.RecordBatch:
-    lists = [(docs, pa.int64()), (lengths, pa.int32()), (other_keys, pa.int64()), (other_docs, pa.int64())]
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of equal values: the value and length of each."""
+    heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
+    return values[heads], np.diff(np.concatenate([heads, [len(values)]]))
+
+
+def _packed(gid, shard, keys, counts, docs, lengths) -> pa.RecordBatch:
     cols = [pa.array([gid], pa.int64()), pa.array([shard], pa.int32()), pa.array([keys], pa.binary()), pa.array([counts], pa.binary())]
-    for values, kind in lists:
-        flat = pa.array(np.asarray(values).astype(kind.to_pandas_dtype()))
-        cols.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
+    for values, kind in ((docs, pa.int64()), (lengths, pa.int32())):
+        cols.append(_lists(1, np.zeros(len(values), np.int64), values, kind))
     return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in PACKED.split(", ")])
 
 
+OWNERS = "gid long, shard int, keys binary, docs array<long>, lengths array<int>, owners binary, more binary"
+
+
 def find_owners(packed: DataFrame, shards: int) -> DataFrame:
-    """(gid, shard, key, doc, owner, more) for anchors that two documents have; ``more``: a third one has it too."""
+    """By flush and shard the keys that two documents have, with the flush's least document and the owner; ``more``: a third one has it too."""
 
-    def solve(shard: int, rows: list[tuple]) -> pa.RecordBatch:
+    def solve(shard: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         key = np.concatenate([_unpack(r[1]) for r in rows])
         local = np.concatenate([np.frombuffer(r[2], np.uint8) for r in rows]).astype(np.int64)
         doc = np.concatenate([np.repeat(r[3], r[4]) for r in rows])
@@ -172,8 +190,16 @@ def find_owners(packed: DataFrame, shards: int) -> DataFrame:
         size = np.diff(np.concatenate([first, [len(key)]]))
         total = np.add.reduceat(local, first)
         owner, shared, more = np.repeat(doc[first], size), np.repeat(total > 1, size), np.repeat(total > 2, size)
-        cols = [gid[shared], np.full(int(shared.sum()), shard, np.int32), key[shared].view(np.int64), doc[shared], owner[shared], more[shared]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gid", "shard", "key", "doc", "owner", "more"])
+        key, doc, gid, owner, more = (x[shared] for x in (key, doc, gid, owner, more))
+        order = np.lexsort((owner, doc, gid))
+        key, doc, gid, owner, more = (x[order] for x in (key, doc, gid, owner, more))
+        out, edges = [], [0, *np.cumsum(_runs(gid)[1]).tolist()]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            docs, lengths = _runs(doc[lo:hi])
+            out.append((int(gid[lo]), shard, _pack(key[lo:hi]), docs, lengths, owner[lo:hi].tobytes(), more[lo:hi].tobytes()))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], names=[c.split()[0] for c in OWNERS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[int, list[tuple]] = {}
@@ -182,13 +208,65 @@ def find_owners(packed: DataFrame, shards: int) -> DataFrame:
                 lists = [batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("docs", "lengths")]
                 rows.setdefault(batch.column("shard")[i].as_py(), []).append((batch.column("gid")[i].as_py(), batch.column("keys")[i].as_py(), batch.column("counts")[i].as_py(), *lists))
         for shard in list(rows):
-            yield solve(shard, rows.pop(shard))
+            yield from solve(shard, rows.pop(shard))
 
     blobs = packed.where("shard >= 0").select("gid", "shard", "keys", "counts", "docs", "lengths").repartition(shards, "shard")
-    return blobs.mapInArrow(run, "gid long, shard int, key long, doc long, owner long, more boolean")
+    return blobs.mapInArrow(run, OWNERS)
+
+
+LISTS = "doc long, keys binary, owners binary, more binary"
+
+
+def list_owners(packed: DataFrame, owners: DataFrame, shards: int) -> DataFrame:
+    """By flush and document its shared keys with their owners; a flush's anchors are resolved in one task, no anchor is a row."""
+
+    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        known, others = [r for r in rows if r[0] >= 0], [r for r in rows if r[0] < 0]
+        if not known:
+            return
+        mask = np.uint64((1 << 48) - 1)
+        code = np.concatenate([_unpack(r[1]) | np.uint64(r[0] << 48) for r in known])
+        owner, more = (np.concatenate([np.frombuffer(r[j], kind) for r in known]) for j, kind in ((4, np.int64), (5, np.bool_)))
+        doc = np.concatenate([np.repeat(r[2], r[3]) for r in known])
+        order = np.argsort(code)
+        code, owner, more, doc = code[order], owner[order], more[order], doc[order]
+        if others:
+            a = np.concatenate([np.frombuffer(r[1], np.uint64) for r in others])
+            which = np.concatenate([np.repeat(r[2], r[3]) for r in others])
+            asked = (((a >> np.uint64(48)) % np.uint64(shards)) << np.uint64(48)) | (a & mask)
+            at = np.minimum(np.searchsorted(code, asked), len(code) - 1)
+            hit = code[at] == asked
+            at, which = at[hit], which[hit]
+            code, owner, more, doc = np.concatenate([code, code[at]]), np.concatenate([owner, owner[at]]), np.concatenate([more, more[at]]), np.concatenate([doc, which])
+        order = np.lexsort((owner, doc))
+        docs, lengths = _runs(doc[order])
+        edges = np.concatenate([[0], np.cumsum(lengths)])
+        cols = [_binaries(raw, edges * width) for raw, width in ((_pack(code[order] & mask), _KEY_BYTES), (owner[order].tobytes(), 8), (more[order].tobytes(), 1))]
+        yield pa.RecordBatch.from_arrays([pa.array(docs), *cols], names=[c.split()[0] for c in LISTS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows = None, []
+        for batch in batches:
+            for i, gid in enumerate(batch.column("gid").to_pylist()):
+                if gid != last and rows:
+                    yield from solve(rows)
+                    rows = []
+                last = gid
+                lists = [batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("docs", "lengths")]
+                rows.append((batch.column("shard")[i].as_py(), batch.column("keys")[i].as_py(), *lists, batch.column("owners")[i].as_py(), batch.column("more")[i].as_py()))
+        if rows:
+            yield from solve(rows)
 
+    none = F.lit(None).cast("binary")
+    others = packed.where("shard < 0").select("gid", "shard", "keys", "docs", "lengths", none.alias("owners"), none.alias("more"))
+    return owners.unionByName(others).repartition("gid").sortWithinPartitions("gid").mapInArrow(run, LISTS)
 
-REGIONS = "owner long, doc long, h long, starts array<int>, more array<boolean>, pieces array<binary>"
+
+def _binaries(raw: bytes, edges: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(raw)])
+
+
+REGIONS = "owner long, doc long, h long, size long, starts array<int>, more array<boolean>, pieces array<binary>"
 
 
 def cut_regions(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -198,88 +276,139 @@ def cut_regions(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "t"):
                 data, off = buffers(part.column("t"))
-                keys_at = keys_of(window_anchors(data, off)).view(np.int64)
+                anchors = window_anchors(data, off)
+                # windows in a row with one anchor are looked up once; the end of a text has none
+                heads = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]])[: len(anchors)])
+                none = anchors[heads] == _NONE
+                heads, ends = heads[~none], np.concatenate([heads[1:], [len(anchors)]])[~none]
+                if not len(heads):
+                    continue
+                row = np.searchsorted(off, heads, "right") - 1
+                code, owners, more = _listed(part)
+                asked = (row.astype(np.uint64) << np.uint64(48)) | keys_of(anchors[heads])
+                at = np.minimum(np.searchsorted(code, asked), len(code) - 1)
+                hit = code[at] == asked
+                heads, ends, row, at = heads[hit], ends[hit], row[hit], at[hit]
+                if not len(heads):
+                    continue
+                who, rest = owners[at], more[at]
+                new = np.concatenate([[True], (heads[1:] != ends[:-1]) | (who[1:] != who[:-1]) | (rest[1:] != rest[:-1])])
+                last = np.concatenate([new[1:], [True]])
+                begin, until, row, who, rest = heads[new], ends[last] + length - 1, row[new], who[new], rest[new]
+                order = np.lexsort((begin, who, row))
+                begin, until, row, who, rest = (x[order] for x in (begin, until, row, who, rest))
                 raw = data.tobytes()
-                rows: list[tuple] = []
-                cols = [part.column(c) for c in ("keys", "owners", "more")]
-                for i in range(part.num_rows):
-                    a, b = int(off[i]), int(off[i + 1])
-                    if b - a < length:
-                        continue
-                    keys, owners, more = (c[i].values.to_numpy(zero_copy_only=False) for c in cols)
-                    order = np.argsort(keys, kind="stable")
-                    keys, owners, more = keys[order], owners[order], more[order]
-                    own = keys_at[a : b - length + 1]
-                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                    hit = keys[at] == own
-                    who, rest = np.where(hit, owners[at], -1), np.where(hit, more[at], False)
-                    cuts = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (hit[1:] != hit[:-1]) | (rest[1:] != rest[:-1])]))
-                    until = np.concatenate([cuts[1:], [len(own)]])
-                    found: dict[int, list] = {}
-                    for s, e in zip(cuts.tolist(), until.tolist(), strict=True):
-                        if hit[s]:
-                            found.setdefault(int(who[s]), []).append((s, bool(rest[s]), raw[a + s : a + e + length - 1]))
-                    rows += [(o, i, *zip(*regions, strict=True)) for o, regions in found.items()]
-                if rows:
-                    take = pa.array([r[1] for r in rows], pa.int64())
-                    lists = [pa.array([r[j] for r in rows], pa.list_(kind)) for j, kind in ((2, pa.int32()), (3, pa.bool_()), (4, pa.binary()))]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), part.column("doc").take(take), part.column("h").take(take), *lists], names=["owner", "doc", "h", "starts", "more", "pieces"])
+                pieces = pa.array([raw[s:e] for s, e in zip(begin.tolist(), until.tolist(), strict=True)], pa.binary())
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (who[1:] != who[:-1])]))
+                edges = pa.array(np.concatenate([first, [len(row)]]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(edges, x) for x in (pa.array((begin - off[row]).astype(np.int32)), pa.array(rest), pieces)]
+                take = pa.array(row[first])
+                cols = [pa.array(who[first]), part.column("doc").take(take), part.column("h").take(take), pa.array(np.add.reduceat(until - begin, first))]
+                yield pa.RecordBatch.from_arrays([*cols, *lists], names=[c.split()[0] for c in REGIONS.split(", ")])
 
     return docs.mapInArrow(run, REGIONS)
 
 
+def _listed(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lists of all rows by row number and key: both in 64 bits, the owner, whether a third document has the key."""
+    keys, owners, more = (b"".join(part.column(c).flatten().to_pylist()) for c in ("keys", "owners", "more"))
+    sizes = np.array([sum(map(len, x)) for x in part.column("more").to_pylist()])
+    code = (np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(48)) | _unpack(keys)
+    order = np.argsort(code, kind="stable")
+    return code[order], np.frombuffer(owners, np.int64)[order], np.frombuffer(more, np.bool_)[order]
+
+
 MARKS = "doc long, h long, begins array<int>, ends array<int>, w1 array<long>, w2 array<long>, at array<int>"
 
 
-def match_regions(pairs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """From (owner, doc, h, starts, more, pieces, index, index_h): removed bytes [begin, end) and the windows left to compare.
+def match_regions(regions: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Regions of others against their owner's: removed bytes [begin, end) and the windows left to compare.
 
-    Rows come sorted by owner from the merge join, so an index is built once for
-    a run of rows; whatever the order, the result is the same.
+    A task gets an owner's regions once, before those that are streamed against
+    them; the index of a hot owner goes to several tasks.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, index = None, None
-        for batch in batches:
-            keys = zip(batch.column("owner").to_pylist(), batch.column("index_h").to_pylist(), strict=True)
-            pieces_of, starts_of, more_of, index_of = (batch.column(c) for c in ("pieces", "starts", "more", "index"))
-            begins, ends, unsettled = [], [], []
-            for i, (key, pieces, starts, more) in enumerate(zip(keys, pieces_of.to_pylist(), starts_of.to_pylist(), more_of.to_pylist(), strict=True)):
-                if key != last or index is None:
-                    last, index = key, RunLengthIndex(index_of[i].as_py(), length)
-                row_begins, row_ends = [], []
-                for start, rest, piece in zip(starts, more, pieces, strict=True):
-                    found = index.long_matches(piece)
-                    some = found.any()
-                    if some:
-                        edges = np.flatnonzero(np.diff(np.concatenate([[False], found, [False]]).astype(np.int8)))
-                        row_begins += (edges[::2] + start).tolist()
-                        row_ends += (edges[1::2] + start + length - 1).tolist()
-                    if rest and not (some and found.all()):
-                        unsettled.append((i, start, piece, found))
-                begins.append(row_begins)
-                ends.append(row_ends)
-            kinds = (pa.int64(), pa.int64(), pa.int32())
-            left = [_lists(batch.num_rows, *x, kind) for x, kind in zip(_window_hashes(unsettled, length), kinds, strict=True)]
-            cols = [pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), *left]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("h"), *cols], names=[c.split()[0] for c in MARKS.split(", ")])
-
-    return pairs.select("owner", "doc", "h", "starts", "more", "pieces", "index", "index_h").mapInArrow(run, MARKS)
-
-
-def _window_hashes(unsettled: list[tuple], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For pieces (row, start, piece, found): both hashes and the place of each window that was not found, with its row."""
-    if not unsettled:
-        none = np.zeros(0, np.int64)
-        return [(none, none)] * 3
-    data = np.frombuffer(b"".join(p for _, _, p, _ in unsettled), np.uint8)
-    sizes = np.array([len(p) for _, _, p, _ in unsettled])
-    begin = np.cumsum(sizes) - sizes
-    windows = np.concatenate([np.flatnonzero(~f) + b for (_, _, _, f), b in zip(unsettled, begin.tolist(), strict=True)])
-    counts = [int((~f).sum()) for _, _, _, f in unsettled]
-    rows = np.repeat([u[0] for u in unsettled], counts)
-    at = windows - np.repeat(begin - np.array([u[1] for u in unsettled]), counts)
-    return [(rows, rolling_hashes(data, length)[windows].view(np.int64)), (rows, rolling_hashes(data, length, 1)[windows].view(np.int64)), (rows, at)]
+    own = F.col("owner") == F.col("doc")
+    hot = regions.groupBy("owner").agg(F.sum(F.when(~own, F.col("size"))).alias("asked"), F.sum(F.when(own, F.col("size")).otherwise(0)).alias("size"))
+    hot = hot.where(F.col("asked") > HOT_BYTES).orderBy(F.desc("asked")).limit(HOT_OWNERS)
+    hot = hot.select("owner", F.ceil(F.col("asked") / F.greatest("size", F.lit(HOT_BYTES))).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    place = F.when(own, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.hash("doc", "h"), parts)))
+    dealt = regions.join(F.broadcast(hot), "owner", "left").select("owner", F.explode(place).alias("part"), own.alias("own"), "doc", "h", "size", "starts", "more", "pieces")
+    dealt = dealt.repartition("owner", "part").sortWithinPartitions("owner", "part", F.desc("own"))
+    return dealt.mapInArrow(lambda batches: match_batches(batches, length), MARKS)
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about ``MATCH_BYTES`` of regions, one row at least."""
+    for batch in batches:
+        total, at = np.cumsum(batch.column("size").to_numpy()), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + MATCH_BYTES, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def match_batches(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
+    """(owner, own, doc, h, size, starts, more, pieces), an owner's own rows before those of others: one index for all owners that begin in a portion."""
+    index, owner, owned, carried = None, None, False, []
+    for batch in _portions(batches):
+        owners, own = batch.column("owner").to_numpy(), batch.column("own").to_numpy(zero_copy_only=False)
+        # an owner's rows that follow on those of the last portion are text 0
+        new = np.concatenate([[owner is None or owners[0] != owner], owners[1:] != owners[:-1]])
+        new |= own & ~np.concatenate([[owned], own[:-1]])
+        text = np.cumsum(new)
+        pieces = batch.column("pieces").to_pylist()
+        texts: list[list[bytes]] = [[] for _ in range(int(text[-1]) + 1)]
+        texts[0] = carried
+        for i in np.flatnonzero(own).tolist():
+            texts[text[i]] += pieces[i]
+        owner, owned, carried = owners[-1], bool(own[-1]), texts[-1] if own[-1] else []
+        rows = np.flatnonzero(~own)
+        if not len(rows):
+            continue
+        counts = np.array([len(pieces[i]) for i in rows.tolist()])
+        patterns = [p for i in rows.tolist() for p in pieces[i]]
+        of = np.repeat(text[rows], counts)
+        windows = np.fromiter(map(len, patterns), np.int64, len(patterns)) - length + 1
+        old = 0
+        if index is not None and not texts[0]:
+            old = int(np.searchsorted(of, 1))
+        found = [index.all_matches(patterns[:old], np.full(old, slot))] if old else []
+        if old < len(patterns):
+            # a text without pieces is one border
+            texts = [t or [b""] for t in texts[: int(of[-1]) + 1]]
+            index = RunLengthIndex([p for t in texts for p in t], length, np.repeat(np.arange(len(texts)), [len(t) for t in texts]))
+            slot = len(texts) - 1
+            found.append(index.all_matches(patterns[old:], of[old:]))
+        starts, more = (_flat(batch.column(c), rows) for c in ("starts", "more"))
+        marks = _marks(np.concatenate(found), windows, np.repeat(np.arange(len(rows)), counts), starts, more, patterns, length)
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        cols = [_lists(len(rows), *x, kind) for x, kind in zip(marks, kinds, strict=True)]
+        take = pa.array(rows)
+        yield pa.RecordBatch.from_arrays([batch.column("doc").take(take), batch.column("h").take(take), *cols], names=[c.split()[0] for c in MARKS.split(", ")])
+
+
+def _flat(lists: pa.ListArray, rows: np.ndarray) -> np.ndarray:
+    return lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+
+
+def _marks(found: np.ndarray, windows: np.ndarray, rows: np.ndarray, starts: np.ndarray, more: np.ndarray, patterns: list[bytes], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For patterns with so many windows: begin and end of the removed runs, and both hashes and the place of each window left to compare, with their rows."""
+    edge = np.cumsum(windows) - windows
+    head = np.zeros(len(found) + 1, bool)
+    head[edge] = head[-1] = True
+    begins = np.flatnonzero(found & (head[:-1] | ~np.concatenate([[False], found[:-1]])))
+    ends = np.flatnonzero(found & (head[1:] | ~np.concatenate([found[1:], [False]])))
+    piece = np.searchsorted(edge, begins, "right") - 1
+    shift = starts - edge
+    left = np.flatnonzero(~found & np.repeat(more, windows))
+    of = np.searchsorted(edge, left, "right") - 1
+    asked, of_asked = np.unique(of, return_inverse=True)
+    data = np.frombuffer(b"".join([patterns[p] for p in asked.tolist()]), np.uint8)
+    sizes = windows[asked] + length - 1
+    at = left - edge[of] + (np.cumsum(sizes) - sizes)[of_asked]
+    hashes = [(rows[of], rolling_hashes(data, length, salt)[at].view(np.int64)) for salt in (0, 1)]
+    return [(rows[piece], begins + shift[piece]), (rows[piece], ends + shift[piece] + length), *hashes, (rows[of], left + shift[of])]
 
 
 def _lists(n: int, rows: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -311,18 +440,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     packed = materialize(pack_anchors(base, shards), "repeat-anchors")
     owners = materialize(find_owners(packed, shards), "repeat-owners")
-    others = packed.where("shard < 0").select("gid", F.explode(F.arrays_zip("other_keys", "other_docs")).alias("o")).select("gid", F.col("o.other_keys").alias("key"), F.col("o.other_docs").alias("doc"))
-    known = owners.select("gid", "key", "owner", "more")
-    listed = owners.select("doc", "key", "owner", "more").unionByName(others.join(known, ["gid", "key"]).select("doc", "key", "owner", "more"))
-    by_doc = materialize(listed.groupBy("doc").agg(F.collect_list(F.struct("key", "owner", "more")).alias("a")).select("doc", F.col("a.key").alias("keys"), F.col("a.owner").alias("owners"), F.col("a.more").alias("more")), "repeat-lists")
+    listed = list_owners(packed, owners, shards).groupBy("doc").agg(F.collect_list(F.struct("keys", "owners", "more")).alias("a"))
+    by_doc = materialize(listed.select("doc", F.col("a.keys").alias("keys"), F.col("a.owners").alias("owners"), F.col("a.more").alias("more")), "repeat-lists")
     release(packed, owners, prints)
 
     asked = base.select("doc", "h", "t").join(by_doc.hint("shuffle_hash"), "doc").join(copies, ["doc", "h"], "left_anti")
     regions = materialize(cut_regions(asked, length), "repeat-regions")
     release(by_doc)
-    index = regions.where("owner = doc").select(F.col("owner").alias("o"), F.col("h").alias("index_h"), F.col("pieces").alias("index"))
-    pairs = regions.where("owner != doc").join(index.hint("merge"), F.col("owner") == F.col("o"))
-    marks = materialize(match_regions(pairs, length), "repeat-marks")
+    marks = materialize(match_regions(regions, length), "repeat-marks")
     release(regions)
 
     left = marks.select("doc", "h", F.explode(F.arrays_zip("w1", "w2", "at")).alias("w")).select("doc", "h", "w.w1", "w.w2", "w.at")
